@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space of every contract: space and \t \n \v \f \r.
 WS = r"[\x20\x09-\x0D]"
@@ -49,3 +50,8 @@ def join_checked(df: DataFrame, small: DataFrame, on: Column, how: str, limit: i
     else:
         small = small.hint("merge")
     return df.join(small, on, how)
+
+
+def schema_of(df: DataFrame, columns: list[str], ddl: str) -> StructType:
+    """The fields of df's columns, then those of ddl."""
+    return StructType(df.select(*columns).schema.fields + StructType.fromDDL(ddl).fields)

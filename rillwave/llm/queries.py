@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from rillwave.llm import exact_dedup, mixing, quality
+import corpus_pipeline
+
+from rillwave.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from rillwave.llm.common import table
 
 
@@ -10,16 +12,31 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark, sf_dir):
+    return bpe.query(spark, sf_dir)
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.query(spark, sf_dir)
 
 
+def op7_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op10_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {"op1_exact_dedup": op1_exact_dedup, "op6_mixing": op6_mixing, "op10_quality": op10_quality}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op3_bpe": op3_bpe,
+        "op6_mixing": op6_mixing,
+        "op7_near_dedup": op7_near_dedup,
+        "op10_quality": op10_quality,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql():
