@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from rillwave.llm import bpe, exact_dedup, mixing, near_dedup, quality
+from rillwave.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality
 from rillwave.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_bpe(spark, sf_dir):
     return bpe.query(spark, sf_dir)
 
 
+def op4_pii(spark, sf_dir):
+    return pii.query(spark, sf_dir)
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.query(spark, sf_dir)
 
@@ -32,6 +36,7 @@ def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_bpe": op3_bpe,
+        "op4_pii": op4_pii,
         "op6_mixing": op6_mixing,
         "op7_near_dedup": op7_near_dedup,
         "op10_quality": op10_quality,
