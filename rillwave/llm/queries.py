@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from rillwave.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality
+from rillwave.llm import bpe, chat, exact_dedup, html_text, mixing, near_dedup, pii, quality
 from rillwave.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark, sf_dir):
+    return html_text.query(spark, sf_dir)
+
+
 def op3_bpe(spark, sf_dir):
     return bpe.query(spark, sf_dir)
 
@@ -20,6 +24,10 @@ def op4_pii(spark, sf_dir):
     return pii.query(spark, sf_dir)
 
 
+def op5_chat(spark, sf_dir):
+    return chat.query(spark, sf_dir)
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.query(spark, sf_dir)
 
@@ -35,8 +43,10 @@ def op10_quality(spark, sf_dir):
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_html_text": op2_html_text,
         "op3_bpe": op3_bpe,
         "op4_pii": op4_pii,
+        "op5_chat": op5_chat,
         "op6_mixing": op6_mixing,
         "op7_near_dedup": op7_near_dedup,
         "op10_quality": op10_quality,
@@ -45,4 +55,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op10_quality": quality.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_chat": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op10_quality": quality.ORACLE}
