@@ -16,7 +16,7 @@ from rillwave.llm.common import schema_of
 
 #: Pieces up to this many characters are remembered, so many at most in each of two generations.
 CACHED_CHARS = 64
-CACHED_PIECES = 150_000
+CACHED_PIECES = 300_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -39,7 +39,15 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=1)
         self._split: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._edges: dict[tuple[bytes, bool], list[tuple[bytes, float]]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self.unreachable = {rank for rank, token in self.tokens.items() if not self.reachable(token)}
+        #: Known pairs, left * 2**32 + right: whether they may stand side by side.
+        self.pairs: dict[int, bool] = {}
+        # The lengths, longest first, of the tokens that end in some three bytes.
+        sizes: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2 and ranks[token] not in self.unreachable:
+                sizes.setdefault(token[-3:], set()).add(len(token))
+        self.sizes = {tail: tuple(sorted(found, reverse=True)) + (2, 1) for tail, found in sizes.items()}
 
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes the token; None for a byte; ValueError if no merging makes it."""
@@ -80,14 +88,44 @@ class Vocabulary:
         return self._edges[key]
 
     def neighbours(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self._pairs.get(key)
+        key = left << 32 | right
+        known = self.pairs.get(key)
         if known is None:
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            known = self._pairs[key] = self._stand(self.tokens[left], self.tokens[right])
+            if len(self.pairs) > 1_000_000:
+                self.pairs.clear()
+            known = self.pairs[key] = self._stand(self.tokens[left], self.tokens[right])
         return known
 
+    def last_tokens(self, data: bytes, last: list[int], start: int, stop: int) -> None:
+        """Appends to last the last tokens of the prefixes of start to stop bytes, given those before."""
+        get, known, sizes_of, unreachable = self.ranks.get, self.pairs.get, self.sizes.get, self.unreachable
+        for i in range(start, stop + 1):
+            for size in sizes_of(data[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
+                if size > i:
+                    continue
+                token = get(data[i - size : i])
+                if token is None or unreachable and token in unreachable:
+                    continue
+                before = last[i - size]
+                if before < 0:
+                    break
+                stands = known(before << 32 | token)
+                if stands or stands is None and self.neighbours(before, token):
+                    break
+            else:
+                raise ValueError(f"byte {data[i - 1 : i]!r} is not in the vocabulary")
+            last.append(token)
+
+    def trace(self, n: int, last: list[int]) -> list[int]:
+        """The ids of the first n bytes, from their last tokens."""
+        out, tokens = [], self.tokens
+        while n:
+            token = last[n]
+            out.append(token)
+            n -= len(tokens[token])
+        out.reverse()
+        return out
+
     def _stand(self, left: bytes, right: bytes) -> bool:
         a, b = self._edge(left, True), self._edge(right, False)
         i = j = 0
@@ -116,22 +154,9 @@ class PrefixTable:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _extend(self, data: bytes, last: list[int], i: int) -> int:
-        v = self.vocabulary
-        ranks, tokens = v.ranks, v.tokens
-        for size in range(min(i, v.longest), 0, -1):
-            token = ranks.get(data[i - size : i])
-            if token is None:
-                continue
-            before = last[i - size]
-            if (before < 0 or v.neighbours(before, token)) if v.reachable(tokens[token]) else False:
-                return token
-        raise ValueError(f"byte {data[i - 1 : i]!r} is not in the vocabulary")
-
     def append(self, data: bytes) -> None:
-        whole, last = self.data + data, self.last
-        for i in range(len(self.data) + 1, len(whole) + 1):
-            last.append(self._extend(whole, last, i))
+        whole = self.data + data
+        self.vocabulary.last_tokens(whole, self.last, len(self.data) + 1, len(whole))
         self.data = whole
 
     def edit(self, at: int, removed: int, inserted: bytes) -> int:
@@ -143,7 +168,7 @@ class PrefixTable:
             if agree >= self.vocabulary.longest:
                 last += old[i - shift :]
                 break
-            last.append(self._extend(data, last, i))
+            self.vocabulary.last_tokens(data, last, i, i)
             made += 1
             unchanged = i > at + len(inserted) and last[i] == old[i - shift]
             agree = agree + 1 if unchanged else 0
@@ -151,11 +176,7 @@ class PrefixTable:
         return made
 
     def ids(self) -> list[int]:
-        out, i = [], len(self.data)
-        while i:
-            out.append(self.last[i])
-            i -= len(self.vocabulary.tokens[out[-1]])
-        return out[::-1]
+        return self.vocabulary.trace(len(self.data), self.last)
 
 
 class _Pieces(dict):
@@ -165,10 +186,10 @@ class _Pieces(dict):
         super().__init__()
         self.coder, self.older = coder, {}
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.older.get(piece)
         if ids is None:
-            ids = self.coder.piece_ids(piece.encode("utf-8", "surrogatepass"))
+            ids = tuple(self.coder.piece_ids(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED_PIECES:
                 self.older = dict(self)
@@ -186,8 +207,13 @@ class Coder:
         self.pieces = _Pieces(self)
 
     def piece_ids(self, piece: bytes) -> list[int]:
-        whole = self.vocabulary.ranks.get(piece)
-        return [whole] if whole is not None else PrefixTable(self.vocabulary, piece).ids()
+        v = self.vocabulary
+        whole = v.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        last = [-1]
+        v.last_tokens(piece, last, 1, len(piece))
+        return v.trace(len(piece), last)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(text))))
