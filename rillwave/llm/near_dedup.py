@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,8 +19,11 @@ from rillwave.llm.shingles import MinHash, fingerprint, shingle_set
 COORDINATES = 48
 MATCHES = 27
 PERCENT = 80
-#: Turns in which each posting list compares its members with one pivot, before what is left is joined pairwise.
-PIVOT_TURNS = 4
+#: Turns in which each posting list compares its members with one pivot, before what is left is compared in cells.
+PIVOT_TURNS = 2
+#: Members of a list that one side of a cell holds (about), and entries of a cell's incidence matrix at most.
+CELL = 128
+DENSE = 30_000_000
 
 
 def _sketched(k: int, coordinates: int):
@@ -57,8 +60,7 @@ def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int,
     sa = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
     sb = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (agree >= matches)
-    likely = stage(pairs.join(sa, "a").join(sb, "b").where(close).select("a", "b", "na", "nb"), "near-likely")
+    likely = stage(pairs.join(sa, "a").join(sb, "b").where(agree >= matches).select("a", "b", "na", "nb"), "near-likely")
     ma = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
     mb = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
     common = F.size(F.array_intersect("ma", "mb"))
@@ -71,6 +73,99 @@ def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int,
     )
 
 
+def _only(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of df whose node is one of nodes."""
+    return df.join(nodes.select(F.col("node").alias("wanted")), F.col("node") == F.col("wanted"), "left_semi")
+
+
+def _labelled(lists: DataFrame, edges: DataFrame) -> DataFrame:
+    """The postings in lists that reach into several components, with the smallest size in the list."""
+    found = stage(components(edges).withColumnRenamed("node", "fnode"), "near-labels")
+    placed = lists.join(found, F.col("node") == F.col("fnode"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("fnode")
+    several = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least")).where("low <> high")
+    return stage(placed.join(several.hint("merge"), "value").drop("low", "high"), "near-placed")
+
+
+def _rarest_members(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Postings of the nodes in placed under their rarest shingles: value, node, n, far.
+
+    Two sets of sizes n and m are similar enough only with percent / (100 + percent) of n + m in common. A node whose
+    partners have at least m members thus shares one of its rarest n - common + 1 with each of them. far is lower the
+    more common a node's shingles are.
+    """
+    partners = placed.groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least"))
+    least = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    common = F.ceil((F.col("n") + least) * percent / (100 + percent) - F.lit(1e-9))
+    partners = partners.select(F.col("node").alias("pnode"), "n", (F.col("n") - common + 1).alias("prefix"))
+    members = sets.select(F.explode("members").alias("value"), "node")
+    df = members.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
+    mine = Window.partitionBy("node")
+    ranked = (
+        members.join(df.hint("merge"), "value")
+        .withColumn("rank", F.row_number().over(mine.orderBy("df", "value")))
+        .withColumn("far", -F.sum(F.log("df")).over(mine))
+    )
+    ranked = ranked.join(partners, F.col("node") == F.col("pnode")).where((F.col("rank") <= F.col("prefix")) & (F.col("df") > 1))
+    return ranked.select("value", "node", "n", (F.col("far") / F.col("n")).alias("far"))
+
+
+def _similar(percent: int):
+    """Of a cell's rows, the pairs of one of side a with one of side b that are of different components and similar."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        side = cell.column("side").to_numpy()
+        nodes, comps = cell.column("node").to_numpy(), cell.column("comp").to_numpy()
+        sets = [np.asarray(m.values) for m in cell.column("members")]
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        sizes = np.array([len(x) for x in sets])
+        common = _overlaps([sets[i] for i in one], [sets[i] for i in two])
+        enough = 100 * common >= percent * (sizes[one][:, None] + sizes[two][None, :] - common)
+        x, y = np.nonzero(enough & (comps[one][:, None] != comps[two][None, :]))
+        return pa.table({"a": nodes[one[x]], "b": nodes[two[y]]})
+
+    return run
+
+
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of one with each of two."""
+    if not one or not two:
+        return np.zeros((len(one), len(two)), dtype=np.int64)
+    shared = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    out = np.zeros((len(one), len(two)), dtype=np.int64)
+    step = max(1, DENSE // (len(one) + len(two)))
+    for at in range(0, len(shared), step):
+        part = shared[at : at + step]
+        rows = []
+        for sets in (one, two):
+            held = np.zeros((len(sets), len(part)), dtype=np.float32)
+            for k, members in enumerate(sets):
+                mine = members[np.searchsorted(members, part[0]) : np.searchsorted(members, part[-1], side="right")]
+                places = np.searchsorted(part, mine)
+                held[k, places[part[np.minimum(places, len(part) - 1)] == mine]] = 1
+            rows.append(held)
+        out += np.rint(rows[0] @ rows[1].T).astype(np.int64)
+    return out
+
+
+def _in_cells(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All similar pairs within the lists whose components differ, without a row per pair.
+
+    A list is cut into chunks of about CELL members; a cell is a chunk of those outside the pivot's component (side a)
+    with a chunk of the whole list (side b). A member is sent once to each cell it belongs to, with its set.
+    """
+    outside = F.col("comp") != F.col("pcomp")
+    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.count_if(outside).alias("r"))
+    sizes = sizes.select(F.col("value").alias("svalue"), F.ceil(F.col("m") / CELL).cast("int").alias("gb"), F.ceil(F.col("r") / CELL).cast("int").alias("ga"))
+    rows = lists.join(sizes.hint("merge"), F.col("value") == F.col("svalue"))
+    chunk = lambda g: F.pmod(F.xxhash64("node"), F.col(g)).cast("int")
+    a = rows.where(outside).withColumn("side", F.lit(0)).withColumn("i", chunk("ga")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("gb") - 1)))
+    b = rows.where("ga > 0").withColumn("side", F.lit(1)).withColumn("j", chunk("gb")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ga") - 1)))
+    names = ["value", "i", "j", "side", "node", "comp"]
+    cells = a.select(names).unionByName(b.select(names))
+    held = cells.join(sets.select(F.col("node").alias("mnode"), "members"), F.col("node") == F.col("mnode")).select(*names, "members")
+    return held.groupBy("value", "i", "j").applyInArrow(_similar(percent), "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES
 ) -> DataFrame:
@@ -86,8 +181,11 @@ def near_duplicates(
     needs posting only under its rarest (left - matches + 1): a pair that agrees on enough coordinates meets in
     one of these lists. In each turn a list compares its members with one pivot and forgets it: with every member
     of another component the pivot has then been compared, so a list of m copies costs m comparisons and not
-    m * m / 2. Lists within one component are skipped. After the last turn members still apart are paired list by
-    list, so nothing is cut off. Pairs are confirmed on the signatures, then on the full sets.
+    m * m / 2. Lists within one component are skipped. What is open after the first turn, such as large groups of
+    copies of copies that are less similar to each other, is posted anew under the rarest shingles of the full sets,
+    with the node of the most common shingles as pivot. After the last turn each member outside the pivot's component
+    is compared with its whole list, in cells of bounded size, so nothing is cut off. Pairs with a pivot are confirmed
+    on the signatures, all on the full sets.
     """
     base = stage(
         docs.select("doc_id", "text").mapInArrow(
@@ -109,47 +207,37 @@ def near_duplicates(
     )
     lists = stage(ranked.where((F.col("left") >= matches) & (F.col("rank") <= F.col("left") - matches + 1)).select("value", "node", "n"), "near-lists")
     nodes = stage(lists.select("node").distinct(), "near-nodes")
-    wanted = nodes.withColumnRenamed("node", "wanted")
-    texts = join_checked(docs.select("doc_id", "text"), wanted, F.col("doc_id") == F.col("wanted"), "left_semi", limit=1_000_000)
+    texts = join_checked(docs.select("doc_id", "text"), nodes, F.col("doc_id") == F.col("node"), "left_semi", limit=1_000_000)
     sets = stage(texts.mapInArrow(_sets(shingle), "node bigint, members array<bigint>"), "near-sets")
-    sigs = stage(classes.join(wanted.hint("merge"), F.col("node") == F.col("wanted"), "left_semi").select("node", "n", "sig"), "near-signatures")
+    sigs = stage(_only(classes.select("node", "n", "sig"), nodes), "near-signatures")
 
     edges = stage(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), "near-edges")
-    labels = nodes.select(F.col("node").alias("lnode"), F.col("node").alias("comp"))
+    placed = lists.select("value", "node", "n", F.col("node").alias("comp"), F.lit(0.0).alias("far"))
     for turn in range(PIVOT_TURNS + 1):
         if turn:
-            found = components(edges)
-            labels = stage(
-                nodes.join(found.withColumnRenamed("node", "fnode"), F.col("node") == F.col("fnode"), "left").select(
-                    F.col("node").alias("lnode"), F.coalesce("comp", "node").alias("comp")
-                ),
-                "near-labels",
-            )
-        placed = lists.join(labels, F.col("node") == F.col("lnode")).select("value", "node", "n", "comp")
+            placed = _labelled(lists, edges)
+        if turn == 1:
+            nodes = stage(placed.select("node").distinct(), "near-nodes")
+            sets, sigs = stage(_only(sets, nodes), "near-sets"), stage(_only(sigs, nodes), "near-signatures")
+            lists = stage(_rarest_members(placed, sets, percent), "near-lists")
+            placed = _labelled(lists, edges)
         pivots = (
             placed.groupBy("value")
-            .agg(
-                F.min("comp").alias("low"),
-                F.max("comp").alias("high"),
-                F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "n")).alias("pivot"),
-            )
+            .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("far", F.xxhash64("node").alias("h"), "node", "comp", "n")).alias("p"))
             .where("low <> high")
-            .select("value", F.col("pivot.node").alias("pnode"), F.col("pivot.comp").alias("pcomp"), F.col("pivot.n").alias("pn"))
+            .select("value", F.col("p.node").alias("pnode"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn"))
         )
         open_lists = stage(placed.join(pivots.hint("merge"), "value"), "near-open")
         if open_lists.isEmpty():
             break
         if turn < PIVOT_TURNS:
-            pairs = open_lists.where("comp <> pcomp").select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b"))
-            lists = open_lists.where("node <> pnode").select("value", "node", "n")
+            fit = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+            pairs = open_lists.where((F.col("comp") != F.col("pcomp")) & fit).select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b"))
+            lists = open_lists.where("node <> pnode").select("value", "node", "n", "far")
+            new = _verified(pairs.distinct(), sigs, sets, matches, percent)
+            edges = edges.unionByName(stage(new, "near-edges"))
         else:
-            one = open_lists.select("value", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"))
-            two = open_lists.select("value", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
-            apart = (F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2"))
-            fit = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
-            pairs = one.join(two, "value").where(apart & fit).select("a", "b")
-        new = stage(_verified(pairs.distinct(), sigs, sets, matches, percent), "near-edges")
-        edges = edges.unionByName(new)
+            edges = edges.unionByName(stage(_in_cells(open_lists, sets, percent), "near-edges"))
     found = components(edges).withColumnRenamed("node", "fnode")
     by_class = classes.select("fp", "node").join(found, F.col("node") == F.col("fnode"), "left").select(F.col("fp").alias("cfp"), F.coalesce("comp", "node").alias("comp"))
     out = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
