@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from rillwave.llm import bpe, chat, exact_dedup, html_text, language, mixing, near_dedup, pii, quality
+from rillwave.llm import bpe, chat, exact_dedup, html_text, language, mixing, near_dedup, pii, quality, toxicity
 from rillwave.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.query(spark, sf_dir)
+
+
 def op9_language(spark, sf_dir):
     return language.query(spark, sf_dir)
 
@@ -53,6 +57,7 @@ def queries():
         "op5_chat": op5_chat,
         "op6_mixing": op6_mixing,
         "op7_near_dedup": op7_near_dedup,
+        "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
         "pipeline": corpus_pipeline.run,
