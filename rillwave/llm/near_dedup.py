@@ -21,7 +21,8 @@ MATCHES = 27
 PERCENT = 80
 #: Turns in which each posting list compares its members with one pivot, before what is left is compared in cells.
 PIVOT_TURNS = 2
-#: Members of a list that one side of a cell holds (about), and entries of a cell's incidence matrix at most.
+#: Members of a list that is compared by a join; larger ones are compared in cells, of whose sides each holds about
+#: as many. Entries of a cell's incidence matrix at most.
 CELL = 128
 DENSE = 30_000_000
 
@@ -78,6 +79,14 @@ def _only(df: DataFrame, nodes: DataFrame) -> DataFrame:
     return df.join(nodes.select(F.col("node").alias("wanted")), F.col("node") == F.col("wanted"), "left_semi")
 
 
+def _meet(n1: Column, rank1: Column, n2: Column, rank2: Column, percent: int) -> Column:
+    """Whether two sets can be similar enough if their first common member has these ranks in a common order.
+
+    Ranks are from 1; 0 stands for a place of no meaning, which leaves the sizes to decide.
+    """
+    return (100 + percent) * (1 + F.least(n1 - rank1, n2 - rank2)) >= percent * (n1 + n2)
+
+
 def _labelled(lists: DataFrame, edges: DataFrame) -> DataFrame:
     """The postings in lists that reach into several components, with the smallest size in the list."""
     found = stage(components(edges).withColumnRenamed("node", "fnode"), "near-labels")
@@ -87,7 +96,7 @@ def _labelled(lists: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _rarest_members(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Postings of the nodes in placed under their rarest shingles: value, node, n, far.
+    """Postings of the nodes in placed under their rarest shingles: value, node, n, far, rank.
 
     Two sets of sizes n and m are similar enough only with percent / (100 + percent) of n + m in common. A node whose
     partners have at least m members thus shares one of its rarest n - common + 1 with each of them. far is lower the
@@ -106,7 +115,7 @@ def _rarest_members(placed: DataFrame, sets: DataFrame, percent: int) -> DataFra
         .withColumn("far", -F.sum(F.log("df")).over(mine))
     )
     ranked = ranked.join(partners, F.col("node") == F.col("pnode")).where((F.col("rank") <= F.col("prefix")) & (F.col("df") > 1))
-    return ranked.select("value", "node", "n", (F.col("far") / F.col("n")).alias("far"))
+    return ranked.select("value", "node", "n", (F.col("far") / F.col("n")).alias("far"), "rank")
 
 
 def _similar(percent: int):
@@ -183,9 +192,10 @@ def near_duplicates(
     of another component the pivot has then been compared, so a list of m copies costs m comparisons and not
     m * m / 2. Lists within one component are skipped. What is open after the first turn, such as large groups of
     copies of copies that are less similar to each other, is posted anew under the rarest shingles of the full sets,
-    with the node of the most common shingles as pivot. After the last turn each member outside the pivot's component
-    is compared with its whole list, in cells of bounded size, so nothing is cut off. Pairs with a pivot are confirmed
-    on the signatures, all on the full sets.
+    with the node of the most common shingles as pivot. After the last turn the members of a list that are still in
+    different components are paired by a join in short lists; in long ones each member outside the pivot's component
+    is compared with its whole list, in cells of bounded size. So nothing is cut off. Pairs are confirmed on the
+    signatures (but for cells) and on the full sets.
     """
     base = stage(
         docs.select("doc_id", "text").mapInArrow(
@@ -212,7 +222,7 @@ def near_duplicates(
     sigs = stage(_only(classes.select("node", "n", "sig"), nodes), "near-signatures")
 
     edges = stage(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), "near-edges")
-    placed = lists.select("value", "node", "n", F.col("node").alias("comp"), F.lit(0.0).alias("far"))
+    placed = lists.select("value", "node", "n", F.col("node").alias("comp"), F.lit(0.0).alias("far"), F.lit(0).alias("rank"))
     for turn in range(PIVOT_TURNS + 1):
         if turn:
             placed = _labelled(lists, edges)
@@ -223,21 +233,28 @@ def near_duplicates(
             placed = _labelled(lists, edges)
         pivots = (
             placed.groupBy("value")
-            .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("far", F.xxhash64("node").alias("h"), "node", "comp", "n")).alias("p"))
+            .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("far", F.xxhash64("node").alias("h"), "node", "comp", "n", "rank")).alias("p"), F.count(F.lit(1)).alias("m"))
             .where("low <> high")
-            .select("value", F.col("p.node").alias("pnode"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn"))
+            .select("value", "m", F.col("p.node").alias("pnode"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn"), F.col("p.rank").alias("prank"))
         )
         open_lists = stage(placed.join(pivots.hint("merge"), "value"), "near-open")
         if open_lists.isEmpty():
             break
         if turn < PIVOT_TURNS:
-            fit = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+            fit = _meet(F.col("n"), F.col("rank"), F.col("pn"), F.col("prank"), percent)
             pairs = open_lists.where((F.col("comp") != F.col("pcomp")) & fit).select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b"))
-            lists = open_lists.where("node <> pnode").select("value", "node", "n", "far")
+            lists = open_lists.where("node <> pnode").select("value", "node", "n", "far", "rank")
             new = _verified(pairs.distinct(), sigs, sets, matches, percent)
             edges = edges.unionByName(stage(new, "near-edges"))
         else:
-            edges = edges.unionByName(stage(_in_cells(open_lists, sets, percent), "near-edges"))
+            small = open_lists.where(F.col("m") <= CELL)
+            one = small.select("value", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"), F.col("rank").alias("r1"))
+            two = small.select("value", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"), F.col("rank").alias("r2"))
+            fit = _meet(F.col("n1"), F.col("r1"), F.col("n2"), F.col("r2"), percent)
+            pairs = one.join(two, "value").where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & fit).select("a", "b")
+            new = stage(_verified(pairs.distinct(), sigs, sets, matches, percent), "near-edges")
+            large = stage(_in_cells(open_lists.where(F.col("m") > CELL), sets, percent), "near-edges")
+            edges = edges.unionByName(new).unionByName(large)
     found = components(edges).withColumnRenamed("node", "fnode")
     by_class = classes.select("fp", "node").join(found, F.col("node") == F.col("fnode"), "left").select(F.col("fp").alias("cfp"), F.coalesce("comp", "node").alias("comp"))
     out = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
