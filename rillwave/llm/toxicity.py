@@ -7,7 +7,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ ONE_EDIT, TWO_EDITS = 5, 9
 #: Words on either side of a term that are its context.
 WINDOW = 6
 THRESHOLD = 0.7
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 FEATURE_NAMES = ("abuse", "quoted", "misspelt", "stems", "terms", "rate", "strongest", "length")
 
 _WORD = re.compile(r"\w+")
@@ -53,6 +53,9 @@ class Lexicon:
     intersected only where words go. Terms match whole words; stems match, without edits, what a word begins with.
     """
 
+    def __reduce__(self):
+        return Lexicon, (self.terms, self.stems, self.clean)
+
     def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: frozenset[str] = frozenset()):
         self.terms, self.stems, self.clean = terms, stems, clean
         self.children: list[dict[str, int]] = [{}]
@@ -82,6 +85,7 @@ class Lexicon:
     def reset(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.states: list[dict[int, int]] = []
+        self.stem_of: list[str | None] = []  # the longest stem that a state has read without edits just now
         self.moves: list[dict[str, int]] = []
         self.start = self._number(self._closed({0: 0}))
 
@@ -102,6 +106,7 @@ class Lexicon:
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
             self.states.append(state)
+            self.stem_of.append(next((self.stem_at[node] for node, edits in state.items() if edits == 0 and node in self.stem_at), None))
             self.moves.append({})
         return self.numbers[key]
 
@@ -132,12 +137,10 @@ class Lexicon:
         for c in word[:64]:
             nxt = self.moves[state].get(c)
             state = self._move(state, c) if nxt is None else nxt
-            nodes = self.states[state]
-            if not nodes:
+            if self.stem_of[state] is not None:
+                stem = self.stem_of[state]
+            elif not self.states[state]:
                 break
-            for node, edits in nodes.items():
-                if edits == 0 and node in self.stem_at:
-                    stem = self.stem_at[node]
         if stem is not None:
             return stem, -1
         if word in self.clean or len(word) > 64:
@@ -150,6 +153,23 @@ class Lexicon:
         return best
 
 
+class _Seen(dict):
+    """What the lexicon matches in recent words (None mostly), in two generations."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon, self.older = lexicon, {}
+
+    def __missing__(self, word: str) -> tuple[str, int] | None:
+        hit = self.older[word] if word in self.older else self.lexicon.match(word)
+        if len(word) <= 40:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = hit
+        return hit
+
+
 @dataclass
 class Scorer:
     """Features of a text and their logistic score."""
@@ -158,21 +178,18 @@ class Scorer:
     weights: np.ndarray | None = None
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
-    seen: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.seen = _Seen(self.lexicon)
+
+    def __reduce__(self):
+        return Scorer, (self.lexicon, self.weights, self.mean, self.scale)
 
     def hits(self, text: str) -> tuple[list[tuple[int, str, int]], list[str]]:
         """Places among the words, the terms and edits of what the lexicon matches; and the words."""
-        words, seen = _WORD.findall(text), self.seen
-        found = []
-        for i, w in enumerate(words):
-            hit = seen.get(w, 0)
-            if hit == 0:
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                hit = seen[w] = self.lexicon.match(w)
-            if hit is not None:
-                found.append((i, *hit))
-        return found, words
+        words = _WORD.findall(text)
+        matched = list(map(self.seen.__getitem__, words))
+        return ([(i, *hit) for i, hit in enumerate(matched) if hit] if any(matched) else []), words
 
     def quotation(self, words: list[str], i: int, text: str, start: int, end: int) -> float:
         """0 (used as abuse) to 1 (quoted): quotation marks and reporting words around, less words that address."""
@@ -310,7 +327,6 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     scorer.mean, scorer.scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)) if len(x) else (np.zeros(len(FEATURE_NAMES)), np.ones(len(FEATURE_NAMES)))
     weight = np.where(y == 1, counts.get(1, 0) / bad, counts.get(0, 0) / good)
     scorer.weights = _fit((x - scorer.mean) / scorer.scale, y, weight / max(weight.mean(), 1e-9)) if len(set(y)) == 2 else np.append(np.zeros(len(FEATURE_NAMES)), -5.0)
-    scorer.seen = {}
     return scorer
 
 
