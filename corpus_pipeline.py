@@ -23,9 +23,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id the verdict keeps."""
-    kept = verdict.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows of docs whose doc_id the verdict keeps; repeated rows stay or go together."""
+    kept = verdict.where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_id"]), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -180,6 +180,8 @@ class Labeller:
 
     def label(self, texts: list[str], spans: bool = False) -> list[tuple[str, float, list[dict] | None]]:
         """Per text its language by most letters, their share, and the spans if asked for."""
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0, [] if spans else None) for _ in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
         ids = [np.array(self._ids(_WORDS.findall(t)), dtype=np.int64) for t in texts]
@@ -194,7 +196,7 @@ class Labeller:
         out = []
         for k, text in enumerate(texts):
             total = shares[k].sum()
-            if not n or not total:
+            if not total:
                 lang, score = UNKNOWN, 0.0
             else:
                 lang, score = self.model.languages[int(shares[k].argmax())], float(shares[k].max() / total)

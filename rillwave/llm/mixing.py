@@ -71,15 +71,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     doc_id: the same on every run and for any partitioning. Rows with a null doc_id share one draw, repeated
     rows too. Every copy goes to the partition of its shuffle_key, a hash, and is sorted by it there: a random
     order in which no source or key is hot. The source table is joined by broadcast only below a counted bound.
-    Extra columns pass through; an empty table gives an empty result.
+    Extra columns pass through; an added column whose name is taken gets an underscore behind it. An empty table
+    gives an empty result.
     """
-    rate = stage(rates(docs, weights, alpha), "mix-rates")
-    joined = join_checked(docs, rate, docs["source"].eqNullSafe(rate["rate_source"]), "inner")
-    counted = joined.withColumn("n_copies", F.coalesce(poisson_count(uniform(F.col("doc_id"), seed), F.col("rate")), F.lit(0)))
-    copies = counted.where("n_copies > 0").drop("rate_source", "rate").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
-    key = F.md5(F.concat(F.lit(f"{seed}/order:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("copy_no").cast("string")))
-    keyed = copies.withColumn("shuffle_key", key)
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    rate = stage(rates(docs, weights, alpha), "mix-rates").withColumnsRenamed({"rate_source": "__mix_source", "rate": "__mix_rate"})
+    count, copy, order = (_free(name, docs.columns) for name in ("n_copies", "copy_no", "shuffle_key"))
+    joined = join_checked(docs, rate, docs["source"].eqNullSafe(rate["__mix_source"]), "inner")
+    counted = joined.withColumn(count, F.coalesce(poisson_count(uniform(docs["doc_id"], seed), F.col("__mix_rate")), F.lit(0)))
+    copies = counted.where(F.col(count) > 0).drop("__mix_source", "__mix_rate").withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
+    key = F.md5(F.concat(F.lit(f"{seed}/order:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col(copy).cast("string")))
+    return copies.withColumn(order, key).repartition(order).sortWithinPartitions(order)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it while a column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def query(spark, sf_dir: str) -> DataFrame:

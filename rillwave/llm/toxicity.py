@@ -324,9 +324,12 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     data = sample.select("text", "toxic").mapInArrow(featured, "toxic int, x array<double>").collect()
     y = np.array([r["toxic"] for r in data], dtype=float)
     x = np.array([r["x"] for r in data], dtype=float).reshape(len(data), len(FEATURE_NAMES))
-    scorer.mean, scorer.scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)) if len(x) else (np.zeros(len(FEATURE_NAMES)), np.ones(len(FEATURE_NAMES)))
+    scorer.mean, scorer.scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 0.25)) if len(x) else (np.zeros(len(FEATURE_NAMES)), np.ones(len(FEATURE_NAMES)))
     weight = np.where(y == 1, counts.get(1, 0) / bad, counts.get(0, 0) / good)
-    scorer.weights = _fit((x - scorer.mean) / scorer.scale, y, weight / max(weight.mean(), 1e-9)) if len(set(y)) == 2 else np.append(np.zeros(len(FEATURE_NAMES)), -5.0)
+    if len(set(y)) == 2:
+        scorer.weights = _fit((x - scorer.mean) / scorer.scale, y, weight / weight.mean())
+    else:  # nothing to tell apart: everything is scored as the one label there is, or as not toxic
+        scorer.weights = np.append(np.zeros(len(FEATURE_NAMES)), 5.0 if 1.0 in y else -5.0)
     return scorer
 
 
