@@ -56,22 +56,42 @@ def _sets(k: int):
     return run
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Of pairs(a, b), those whose signatures agree often enough and whose full sets are similar enough."""
+def _likely(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
+    """Of pairs(a, b), those whose signatures agree often enough, with the sizes of their sets."""
     sa = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
     sb = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    likely = stage(pairs.join(sa, "a").join(sb, "b").where(agree >= matches).select("a", "b", "na", "nb"), "near-likely")
+    return stage(pairs.join(sa, "a").join(sb, "b").where(agree >= matches).select("a", "b", "na", "nb"), "near-likely")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
+
+
+def _verified(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of likely pairs, those whose full sets are similar enough."""
     ma = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
     mb = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
     common = F.size(F.array_intersect("ma", "mb"))
-    return (
-        likely.join(ma, "a")
-        .join(mb, "b")
-        .withColumn("common", common)
-        .where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
-        .select("a", "b")
-    )
+    close = likely.join(ma, "a").join(mb, "b").withColumn("common", common)
+    return stage(close.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "near-edges")
+
+
+def _reaching(placed: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
+    """Of the nodes in placed (with comp), those that share enough signature values with other components.
+
+    The nodes that drop out have no partner, so the others are counted again without them, twice.
+    """
+    nodes = placed.select("node", "comp").distinct()
+    for _ in range(2):
+        mine = nodes.withColumnsRenamed({"node": "rnode"})
+        posts = stage(sigs.join(mine, F.col("node") == F.col("rnode")).select("node", "comp", F.explode("sig").alias("value")), "near-posts")
+        shared = posts.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
+        nodes = stage(
+            posts.join(shared.hint("merge"), "value", "left_semi").groupBy("node", "comp").agg(F.count(F.lit(1)).alias("live")).where(F.col("live") >= matches).select("node", "comp"),
+            "near-nodes",
+        )
+    return nodes.select("node")
 
 
 def _only(df: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -217,19 +237,21 @@ def near_duplicates(
     )
     lists = stage(ranked.where((F.col("left") >= matches) & (F.col("rank") <= F.col("left") - matches + 1)).select("value", "node", "n"), "near-lists")
     nodes = stage(lists.select("node").distinct(), "near-nodes")
-    texts = join_checked(docs.select("doc_id", "text"), nodes, F.col("doc_id") == F.col("node"), "left_semi", limit=1_000_000)
-    sets = stage(texts.mapInArrow(_sets(shingle), "node bigint, members array<bigint>"), "near-sets")
     sigs = stage(_only(classes.select("node", "n", "sig"), nodes), "near-signatures")
 
+    def sets_of(some: DataFrame) -> DataFrame:
+        texts = join_checked(docs.select("doc_id", "text"), some, F.col("doc_id") == F.col("node"), "left_semi", limit=1_000_000)
+        return stage(texts.mapInArrow(_sets(shingle), "node bigint, members array<bigint>"), "near-sets")
+
     edges = stage(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), "near-edges")
     placed = lists.select("value", "node", "n", F.col("node").alias("comp"), F.lit(0.0).alias("far"), F.lit(0).alias("rank"))
     for turn in range(PIVOT_TURNS + 1):
         if turn:
             placed = _labelled(lists, edges)
         if turn == 1:
-            nodes = stage(placed.select("node").distinct(), "near-nodes")
-            sets, sigs = stage(_only(sets, nodes), "near-sets"), stage(_only(sigs, nodes), "near-signatures")
-            lists = stage(_rarest_members(placed, sets, percent), "near-lists")
+            nodes = _reaching(placed, sigs, matches)
+            sets, sigs = sets_of(nodes), stage(_only(sigs, nodes), "near-signatures")
+            lists = stage(_rarest_members(_only(placed, nodes), sets, percent), "near-lists")
             placed = _labelled(lists, edges)
         pivots = (
             placed.groupBy("value")
@@ -244,15 +266,15 @@ def near_duplicates(
             fit = _meet(F.col("n"), F.col("rank"), F.col("pn"), F.col("prank"), percent)
             pairs = open_lists.where((F.col("comp") != F.col("pcomp")) & fit).select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b"))
             lists = open_lists.where("node <> pnode").select("value", "node", "n", "far", "rank")
-            new = _verified(pairs.distinct(), sigs, sets, matches, percent)
-            edges = edges.unionByName(stage(new, "near-edges"))
+            likely = _likely(pairs.distinct(), sigs, matches)
+            edges = edges.unionByName(_verified(likely, sets if turn else sets_of(_ends(likely)), percent))
         else:
             small = open_lists.where(F.col("m") <= CELL)
             one = small.select("value", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"), F.col("rank").alias("r1"))
             two = small.select("value", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"), F.col("rank").alias("r2"))
             fit = _meet(F.col("n1"), F.col("r1"), F.col("n2"), F.col("r2"), percent)
             pairs = one.join(two, "value").where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & fit).select("a", "b")
-            new = stage(_verified(pairs.distinct(), sigs, sets, matches, percent), "near-edges")
+            new = _verified(_likely(pairs.distinct(), sigs, matches), sets, percent)
             large = stage(_in_cells(open_lists.where(F.col("m") > CELL), sets, percent), "near-edges")
             edges = edges.unionByName(new).unionByName(large)
     found = components(edges).withColumnRenamed("node", "fnode")
