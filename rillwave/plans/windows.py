@@ -28,7 +28,8 @@ class WindowPlan:
     """Adds the columns of views to a frame, sources first."""
 
     def __init__(self, df: DataFrame, key: list[str], order: list[str], value: str, strict: bool = False):
-        self.df, self.key, self.order, self.strict = df, key, order, strict
+        # Dealt by key at first, so that every frame by (key, ready) finds its rows together.
+        self.df, self.key, self.order, self.strict = df.repartition(*key), key, order, strict
         self.columns: dict[v.View, str] = {}
         self.classes: dict[object, str] = {}
         self.flags: dict[str, str] = {}

@@ -1,0 +1 @@
+"""Views over streams."""
