@@ -29,8 +29,9 @@ def exact_dedup(docs: DataFrame, content_hash=md5_128) -> DataFrame:
     of docs are ignored; an empty table gives an empty result.
 
     The group-by has the hash and the bytes as its key, hash-partitioned by the hash: copies collapse before the
-    shuffle, and two texts that share a hash remain two groups. Documents find their group by hash and SHA-256
-    over rows without texts, a join that adaptive execution splits where one group holds much of the table.
+    shuffle, and two texts that share a hash remain two groups. The groups are staged, so that the join in which
+    documents find theirs, by hash and SHA-256 over rows without texts, is one that adaptive execution splits where
+    one group holds much of the table.
     Should two different texts share both digests, the query stops rather than merge them.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -57,6 +58,7 @@ def exact_dedup(docs: DataFrame, content_hash=md5_128) -> DataFrame:
         .withColumn("keep_id", (F.lit(2**63 - 1).cast("decimal(20,0)") - (F.col("rank") % F.lit(_SPAN).cast("decimal(20,0)"))).cast("long"))
         .select("h", "text_sha256", "keep_id", "group_size")
     )
+    groups = stage(groups, "exact-groups")
     return digests.join(groups.hint("merge"), ["h", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
     )
