@@ -112,6 +112,7 @@ def _labelled(lists: DataFrame, edges: DataFrame) -> DataFrame:
     found = stage(components(edges).withColumnRenamed("node", "fnode"), "near-labels")
     placed = lists.join(found, F.col("node") == F.col("fnode"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("fnode")
     several = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least")).where("low <> high")
+    several = stage(several, "near-several")  # staged, so that the join can be split where a list is hot
     return stage(placed.join(several.hint("merge"), "value").drop("low", "high"), "near-placed")
 
 
@@ -259,6 +260,7 @@ def near_duplicates(
             .where("low <> high")
             .select("value", "m", F.col("p.node").alias("pnode"), F.col("p.comp").alias("pcomp"), F.col("p.n").alias("pn"), F.col("p.rank").alias("prank"))
         )
+        pivots = stage(pivots, "near-pivots")
         open_lists = stage(placed.join(pivots.hint("merge"), "value"), "near-open")
         if open_lists.isEmpty():
             break
