@@ -19,15 +19,15 @@ from rillwave.llm.sampling import class_sample, held_out, learnable
 #: Labelled documents learnt from, per language at most (about), and languages at most.
 SAMPLE_PER_LANGUAGE = 3_000
 LANGUAGES = 300
-#: Character n-grams of the model at most, and words whose scores a worker remembers.
+#: Character n-grams of the model at most; words, and scores of words, that a worker remembers.
 FEATURES = 200_000
-REMEMBERED = 300_000
+REMEMBERED, REMEMBERED_SCORES = 600_000, 6_000_000
 #: Log-probability that a change of language between two words costs.
 SWITCH = 12.0
 #: A script belongs to a language that writes this share of its letters in it.
 SCRIPT_SHARE = 0.005
-#: Words handled at once.
-SLICE_WORDS = 800_000
+#: Characters of text handled at once (about).
+SLICE_CHARS = 20_000_000
 UNKNOWN = "und"
 
 # First code point and name of ranges of letters; a range ends where the next begins.
@@ -50,9 +50,9 @@ def script(word: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """Character 2-grams and 3-grams of a bounded word, and the word itself if it is short."""
+    """Character 3-grams of a bounded word, and the word itself if it is short."""
     w = f"<{word}>"
-    out = [w[i : i + 3] for i in range(len(w) - 2)] + [w[i : i + 2] for i in range(len(w) - 1)]
+    out = [w[i : i + 3] for i in range(len(w) - 2)]
     if len(word) <= 5:
         out.append(f"={word}")
     return out
@@ -72,7 +72,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
             mine = counts.setdefault(lang.as_py(), Counter())
-            for word, n in Counter(_WORDS.findall((text.as_py() or "").lower())).items():
+            for word, n in Counter(_WORDS.findall(_lower(text.as_py() or ""))).items():
                 mine["s", script(word)] += n
                 for g in grams(word):
                     mine["g", g] += n
@@ -85,14 +85,14 @@ class Model:
     """Naive Bayes over n-grams of a word: log-probabilities per language, and the languages of each script."""
 
     def __init__(self, languages: list[str], table: dict[str, np.ndarray], missing: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.languages, self.table, self.missing, self.scripts = languages, table, missing, scripts
+        self.languages, self.scripts = languages, scripts
+        self.row = {g: i for i, g in enumerate(table)}
+        self.matrix = np.vstack([*table.values(), missing]).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
         """Scores of a word; languages that do not use its script are out, unless none does."""
-        word = word.lower()
-        total = np.zeros(len(self.languages), dtype=np.float32)
-        for g in grams(word[:64]):
-            total += self.table.get(g, self.missing)
+        row, unknown = self.row.get, len(self.matrix) - 1
+        total = self.matrix[[row(g, unknown) for g in grams(word[:64])]].sum(axis=0)
         fits = self.scripts.get(script(word))
         return total if fits is None else np.where(fits, total, np.float32(-1e6))
 
@@ -143,7 +143,7 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.
         top = before.argmax(axis=1)
         moved = before[np.arange(a), top] - switch
         stays = before >= moved[:, None]
-        back.append((stays, top))
+        back.append((stays, top.astype(np.int16)))
         best[:a] = np.maximum(before, moved[:, None]) + scores[ids[starts[:a] + t]]
     state = best.argmax(axis=1)
     for t in range(int(counts[0]) - 1, -1, -1):
@@ -156,40 +156,50 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.
     return labels
 
 
-class Labeller:
-    """Labels of texts under a model; a worker's words are scored once while they are remembered."""
+def _lower(text: str) -> str:
+    """Lower case where that keeps the places of letters."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+class _Words(dict):
+    """Places of words in a growing table of their scores and letters."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        super().__init__()
+        self.model = model
         self.scores = np.zeros((1024, len(model.languages)), dtype=np.float32)
         self.letters = np.zeros(1024, dtype=np.int64)
 
-    def _ids(self, words: list[str]) -> list[int]:
-        known, out = self.known, []
-        for w in words:
-            i = known.get(w)
-            if i is None:
-                i = known[w] = len(known)
-                if i >= len(self.scores):
-                    self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                    self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-                self.scores[i] = self.model.word(w)
-                self.letters[i] = sum(map(str.isalpha, w))
-            out.append(i)
-        return out
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        if i >= len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.scores[i] = self.model.word(word)
+        self.letters[i] = len(word) if word.isalpha() else sum(map(str.isalpha, word))
+        return i
+
+
+class Labeller:
+    """Labels of texts under a model; a worker's words are scored once while they are remembered."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, _Words(model)
 
     def label(self, texts: list[str], spans: bool = False) -> list[tuple[str, float, list[dict] | None]]:
         """Per text its language by most letters, their share, and the spans if asked for."""
         if not self.model.languages:
             return [(UNKNOWN, 0.0, [] if spans else None) for _ in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        ids = [np.array(self._ids(_WORDS.findall(t)), dtype=np.int64) for t in texts]
+        if len(self.known) > min(REMEMBERED, REMEMBERED_SCORES // len(self.model.languages)):
+            self.known = _Words(self.model)
+        known = self.known
+        ids = [np.fromiter(map(known.__getitem__, _WORDS.findall(_lower(t))), dtype=np.int32) for t in texts]
         counts = np.array([len(x) for x in ids], dtype=np.int64)
         starts = np.cumsum(counts) - counts
-        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
-        labels = viterbi(self.scores, flat, starts, counts)
-        weights = self.letters[flat]
+        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+        labels = viterbi(known.scores, flat, starts, counts)
+        weights = known.letters[flat]
         of = np.repeat(np.arange(len(texts)), counts)
         n = len(self.model.languages)
         shares = np.bincount(of * n + labels, weights=weights, minlength=len(texts) * n).reshape(len(texts), n)
@@ -253,7 +263,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                 text = t.as_py() or ""
                 part.append((i.as_py(), h.as_py(), text))
                 size += len(text)
-                if size > 6 * SLICE_WORDS:
+                if size > SLICE_CHARS:
                     yield made(part)
                     part, size = [], 0
             if part:
