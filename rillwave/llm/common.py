@@ -30,14 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, scan: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and return the written table.
 
+    What a scan of texts makes is written as it is read. Other tables, which come out of a shuffle, are written by
+    four tasks for each core at most: enough for all cores, without a file for each of many small partitions.
+
     Cuts the lineage: a lost executor costs only the files' re-read. The folder's owner removes the tables
     when the job's result has been written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not scan:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -40,7 +40,7 @@ def exact_dedup(docs: DataFrame, content_hash=md5_128) -> DataFrame:
         .withColumn("norm", normalised(F.col("text")))
         .select("doc_id", F.char_length("text").alias("len"), "norm", content_hash(F.col("norm")).alias("h"))
     )
-    digests = stage(keyed.select("doc_id", "len", "h", F.sha2("norm", 256).alias("text_sha256")), "exact-digests")
+    digests = stage(keyed.select("doc_id", "len", "h", F.sha2("norm", 256).alias("text_sha256")), "exact-digests", scan=True)
 
     # Longest original first, then smallest id: one comparable fixed-width value, so the aggregate hashes.
     rank = F.col("len").cast("decimal(10,0)") * F.lit(_SPAN).cast("decimal(20,0)") + (

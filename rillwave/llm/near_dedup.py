@@ -223,6 +223,7 @@ def near_duplicates(
             _sketched(shingle, coordinates), schema_of(docs, ["doc_id"], "n_shingles bigint, fp binary, sig array<bigint>")
         ),
         "near-sketch",
+        scan=True,
     )
     classes = stage(
         base.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
@@ -242,7 +243,7 @@ def near_duplicates(
 
     def sets_of(some: DataFrame) -> DataFrame:
         texts = join_checked(docs.select("doc_id", "text"), some, F.col("doc_id") == F.col("node"), "left_semi", limit=1_000_000)
-        return stage(texts.mapInArrow(_sets(shingle), "node bigint, members array<bigint>"), "near-sets")
+        return stage(texts.mapInArrow(_sets(shingle), "node bigint, members array<bigint>"), "near-sets", scan=True)
 
     edges = stage(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), "near-edges")
     placed = lists.select("value", "node", "n", F.col("node").alias("comp"), F.lit(0.0).alias("far"), F.lit(0).alias("rank"))

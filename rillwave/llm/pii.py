@@ -98,7 +98,7 @@ def spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text"))
     df = df.select("key", "doc_id", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], found(F.col("text"), CANDIDATE).alias("raw"))
-    return stage(df, "pii-spans")
+    return stage(df, "pii-spans", scan=True)
 
 
 def discover(docs: DataFrame, df: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def discover(docs: DataFrame, df: DataFrame) -> DataFrame:
         "key", "doc_id", F.col("x.s").alias("s"), (F.col("x.s") + F.char_length(trimmed)).alias("e"), F.lower(trimmed).alias("value"), _context(F.col("x.left")).alias("word")
     )
     kinds = F.array_compact(F.array(*[F.when(F.col("value").rlike(SHAPES[k]), F.lit(k)) for k in KINDS]))
-    shaped = stage(tokens.where("word <> ''").select("key", "doc_id", "s", "e", F.explode(kinds).alias("kind"), "word", "value"), "pii-candidates")
+    shaped = stage(tokens.where("word <> ''").select("key", "doc_id", "s", "e", F.explode(kinds).alias("kind"), "word", "value"), "pii-candidates", scan=True)
 
     known = seeds.select("kind", "value").distinct().withColumn("seed", F.lit(True))
     edges = (

@@ -143,7 +143,7 @@ def quality(docs: DataFrame) -> DataFrame:
     judged alike; other columns are ignored; an empty table gives an empty result. A group without any sketch
     consists of failed documents only. The counts are staged once for both uses, and carry no text.
     """
-    rows = stage(measured(counted(docs)), "quality-counts")
+    rows = stage(measured(counted(docs)), "quality-counts", scan=True)
     sketch = stage(sketches(rows), "quality-sketch")
     limits = stage(thresholds(sketch), "quality-limits")
     same = rows["lang"].eqNullSafe(limits["t_lang"]) & rows["source"].eqNullSafe(limits["t_source"])

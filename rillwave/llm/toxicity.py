@@ -282,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     picked, counts = class_sample(rows, "lid", "toxic", per_label, 2)
     picked = stage(picked, "toxic-ids")  # about 2 * per_label ids
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), F.col("doc_id") == F.col("lid")).select("doc_id", "text", "toxic")
-    sample = stage(sample, "toxic-sample").repartition(spark.sparkContext.defaultParallelism)
+    sample = stage(sample, "toxic-sample", scan=True).repartition(spark.sparkContext.defaultParallelism)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
 
