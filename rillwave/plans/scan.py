@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from rillwave.operators import views as v
 from rillwave.operators.kernels import Program
+from rillwave.plans.workers import importable
 
 VALUE, START = "__value", "__start"
 
@@ -84,6 +85,7 @@ def _with_nulls(program: Program, part: list, outs: list[list], held: list, null
 
 def scan(df: DataFrame, key: list[str], order: list[str], value: str, roots: list[v.View], names: list[str], strict: bool, nulls: str) -> DataFrame:
     """df with one column per root."""
+    importable(df.sparkSession)
     rows = df.withColumn(VALUE, F.col(value).cast("double")).repartition(*key).sortWithinPartitions(*key, *order)
     schema = StructType([*df.schema.fields, *[StructField(f"__out{i}", DoubleType()) for i in range(len(roots))]])
     made = rows.mapInArrow(scanner(roots, key, strict, nulls), schema)

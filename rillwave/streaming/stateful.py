@@ -19,6 +19,7 @@ from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from rillwave.operators.kernels import Program
 from rillwave.operators.views import View
+from rillwave.plans.workers import importable
 
 STATE = StructType([StructField("state", BinaryType())])
 
@@ -60,5 +61,6 @@ def stream_features(df: DataFrame, key: str | list[str], order: str | list[str],
         state.update((pickle.dumps((program, places[-1], held)),))
         yield out
 
+    importable(df.sparkSession)
     rows = df.withColumn("__value", F.col(value).cast("double"))
     return rows.groupBy(*key).applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
