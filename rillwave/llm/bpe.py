@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from rillwave.llm.common import schema_of
+from rillwave.plans.workers import importable
 
 #: Pieces up to this many characters are remembered, so many at most in each of two generations.
 CACHED_CHARS = 64
@@ -261,6 +262,7 @@ def encode_decode(docs: DataFrame, path: str, columns: tuple[str, ...] = ("ids",
     memory holds one batch of texts, one text's ids and a bounded number of remembered pieces.
     """
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    importable(docs.sparkSession)
     with open(path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwave.llm.common import schema_of, table
+from rillwave.plans.workers import importable
 
 #: A turn is BEGIN role MIDDLE text END.
 BEGIN, MIDDLE, END = "<s>", "[INST]", "</s>"
@@ -118,6 +119,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     gives an empty result. The turns of a conversation meet sorted in one task, which holds the conversation it is
     at (a row of the result) and one batch.
     """
+    importable(conversations.sparkSession)
     rows = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInArrow(_format, schema_of(conversations, ["conv_id"], "n_turns bigint, formatted string, loss array<struct<start:bigint,end:bigint>>"))
 
@@ -147,6 +149,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
             )
 
+    importable(formatted.sparkSession)
     ddl = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, schema_of(formatted, ["conv_id"], ddl))
 

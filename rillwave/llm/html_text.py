@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rillwave.llm.common import schema_of
+from rillwave.plans.workers import importable
 
 # Common function words of some languages.
 STOP_WORDS = frozenset(
@@ -227,6 +228,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     ["page_id", "url", "text", "n_chars", "n_blocks"],
                 )
 
+    importable(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(run, schema_of(pages, ["page_id", "url"], "text string, n_chars bigint, n_blocks bigint"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import hashlib
 import pickle
 import re
 from collections import Counter
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rillwave.llm.common import schema_of, stage
 from rillwave.llm.sampling import class_sample, held_out, learnable
+from rillwave.plans.workers import importable
 
 #: Labelled documents learnt from, per language at most (about), and languages at most.
 SAMPLE_PER_LANGUAGE = 3_000
@@ -100,6 +102,7 @@ class Model:
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model of the languages of learnable rows (lang not null): counts over a bounded sample of about per_language
     rows for each language. What reaches the driver is bounded by FEATURES n-grams."""
+    importable(docs.sparkSession)
     rows = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sample, counts = class_sample(rows, "doc_id", "lang", per_language, LANGUAGES)
     found = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, kind string, what string, n bigint")
@@ -224,7 +227,7 @@ class Labeller:
         return made
 
 
-_labellers: dict[int, Labeller] = {}
+_labellers: dict[str, Labeller] = {}
 
 
 def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
@@ -234,8 +237,9 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     without a letter are und with score 0. Only the text decides: columns lang and source are not read. Repeated
     rows get equal results; other columns are ignored; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    key = id(shared)
+    importable(docs.sparkSession)
+    data = pickle.dumps(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _labellers:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from rillwave.llm.common import join_checked, schema_of, stage
 from rillwave.llm.components import components
 from rillwave.llm.shingles import MinHash, fingerprint, shingle_set
+from rillwave.plans.workers import importable
 
 #: Coordinates of a signature, and how many must agree. A pair of similarity 0.8 agrees on 38 of 48 in the mean;
 #: fewer than 27 has a probability of 1e-5.
@@ -218,6 +219,7 @@ def near_duplicates(
     is compared with its whole list, in cells of bounded size. So nothing is cut off. Pairs are confirmed on the
     signatures (but for cells) and on the full sets.
     """
+    importable(docs.sparkSession)
     base = stage(
         docs.select("doc_id", "text").mapInArrow(
             _sketched(shingle, coordinates), schema_of(docs, ["doc_id"], "n_shingles bigint, fp binary, sig array<bigint>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import re
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rillwave.llm.common import schema_of, stage
 from rillwave.llm.sampling import class_sample, held_out, learnable
+from rillwave.plans.workers import importable
 
 #: Labelled documents learnt from, per label (about), and terms of the lexicon at most.
 SAMPLE_PER_LABEL = 4_000
@@ -278,6 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     that an automaton would take for a misspelt term are noted as clean.
     """
     spark = docs.sparkSession
+    importable(spark)
     rows = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("lid")).agg(F.max("toxic").cast("int").alias("toxic"))
     picked, counts = class_sample(rows, "lid", "toxic", per_label, 2)
     picked = stage(picked, "toxic-ids")  # about 2 * per_label ids
@@ -342,9 +345,10 @@ def score(docs: DataFrame, scorer: Scorer, spans: bool = True) -> DataFrame:
     Whole texts are read; null counts as empty. Only the text decides. Repeated rows get equal results; other columns
     are ignored; an empty table gives an empty result. Texts are scored one by one.
     """
+    importable(docs.sparkSession)
     data = pickle.dumps(scorer)
     shared = docs.sparkSession.sparkContext.broadcast(data)
-    key = f"{hash(data)}"
+    key = hashlib.sha256(data).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _scorers:
