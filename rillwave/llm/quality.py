@@ -18,7 +18,7 @@ SHORT = 100
 #: Thousandths at which a sketch ends; larger measures count in its last bin.
 TOP = 100_000
 #: Measures in thousandths with the least spread each is given: (name, spread, whether low values fail too).
-MEASURES = (("word_len", 300, True), ("symbols", 50, False), ("dup_lines", 75, False), ("repeats", 50, False))
+MEASURES = (("word_len", 300, True), ("symbols", 50, False), ("dup_lines", 125, False), ("repeats", 60, False))
 
 
 def words(text: Column) -> Column:
@@ -198,7 +198,7 @@ j AS (
          LEFT JOIN q l ON l.lv = 1 AND l.lang IS NOT DISTINCT FROM m.lang LEFT JOIN q e ON e.lv = 3)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(NOT base_failed AND word_len BETWEEN a1 - slack * greatest(a3 - a1, 300) AND a3 + slack * greatest(a3 - a1, 300)
-         AND symbols <= b3 + slack * greatest(b3 - b1, 50) AND dup_lines <= c3 + slack * greatest(c3 - c1, 75)
-         AND repeats <= d3 + slack * greatest(d3 - d1, 50), false) AS kept, lang, source
+         AND symbols <= b3 + slack * greatest(b3 - b1, 50) AND dup_lines <= c3 + slack * greatest(c3 - c1, 125)
+         AND repeats <= d3 + slack * greatest(d3 - d1, 60), false) AS kept, lang, source
 FROM j
 """
