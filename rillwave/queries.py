@@ -51,6 +51,8 @@ from rillwave.operators.views import (
 )
 from rillwave.oracle import OracleSql
 from rillwave.plans.features import features, final
+from rillwave.sources.series import scratch
+from rillwave.streaming.stateful import stream_features
 
 CENTRED = Subtract(Echo(), Constant(25.0))
 
@@ -155,6 +157,17 @@ def ready_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("event_id", "user_id", rounded("out"))
 
 
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two outputs over the events as a stream of files, written and read again."""
+    columns = ["event_id", "user_id", "ts", "value"]
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").select(*columns).schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    made = stream_features(events, "user_id", ["ts", "event_id"], {"ema": VIEWS["ema"], "rsi": VIEWS["rsi"]})
+    out = scratch(spark, "stream")
+    made.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_id", "user_id", rounded("ema"), rounded("rsi"))
+
+
 def _events_sql(view: View, name: str = "out") -> str:
     return OracleSql("events", "user_id", "event_id", "ts, event_id", "value").sql(view, name)
 
@@ -163,7 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: on_events(view) for name, view in VIEWS.items()}
     found["orders_ema"] = on_orders(Ema(5))
     found["orders_rsi"] = on_orders(Rsi(4))
-    found |= {"all_together": all_together, "final_values": final_values, "ready_rows": ready_rows}
+    found |= {"all_together": all_together, "final_values": final_values, "ready_rows": ready_rows, "stream": stream}
     return found
 
 
@@ -175,5 +188,6 @@ def oracle_sql() -> dict[str, str]:
     found["all_together"] = f"SELECT e.event_id, e.user_id, {', '.join(f't_{n}.out AS {n}' for n in TOGETHER)} FROM events e {joined}"
     last = "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id"
     found["final_values"] = f"SELECT l.user_id, a.out AS ema, b.out AS rsi FROM ({last}) l JOIN ({found['ema']}) a USING (event_id) JOIN ({found['rsi']}) b USING (event_id)"
+    found["stream"] = f"SELECT a.event_id, a.user_id, a.out AS ema, b.out AS rsi FROM ({found['ema']}) a JOIN ({found['rsi']}) b USING (event_id)"
     found["ready_rows"] = f"SELECT * FROM ({found['chain_alma_vsct']}) WHERE out IS NOT NULL"
     return found

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -65,3 +68,12 @@ def write_features(df: DataFrame, path: str, *, fmt: str | None = None, mode: st
     if _format(path, fmt) == "csv":
         writer = writer.option("header", True)
     writer.save(path)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share; a temporary one only where the session names none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="rillwave-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path.rstrip('/')}/{label}-{uuid.uuid4().hex}"
