@@ -36,6 +36,31 @@ class Buffered(Kernel):
         self.values: deque[float] = deque()
 
 
+class Sliding:
+    """The last values of a window and their sum: kept up by differences, renewed exactly once a window."""
+
+    def __init__(self, window: int):
+        self.window, self.values, self.total, self.others, self.age = window, deque(), 0.0, 0, 0
+
+    def add(self, x: float) -> float:
+        """Takes a value in and returns the sum, exactly 0 if all values are."""
+        q = self.values
+        if len(q) >= self.window:
+            old = q.popleft()
+            self.total -= old
+            self.others -= old != 0
+        q.append(x)
+        self.others += x != 0
+        self.age += 1
+        if self.age >= self.window:
+            self.total, self.age = math.fsum(q), 0
+        else:
+            self.total += x
+        if not self.others:
+            self.total = 0.0
+        return self.total
+
+
 class GteKernel(Kernel):
     def __init__(self, clip):
         self.clip = clip
@@ -94,13 +119,13 @@ class WelfordRollingKernel(Kernel):
         return _spread(self.stat, self.mean, self.m2 / self.n)
 
 
-class SmaKernel(Buffered):
+class SmaKernel(Kernel):
+    def __init__(self, window):
+        self.window, self.sum = window, Sliding(window + 1)
+
     def step(self, x):
-        q = self.values
-        if len(q) > self.window:
-            q.popleft()
-        q.append(x)
-        return math.fsum(q) / len(q) if len(q) >= self.window else None
+        total, n = self.sum.add(x), len(self.sum.values)
+        return total / n if n >= self.window else None
 
 
 class EmaKernel(Kernel):
@@ -113,19 +138,15 @@ class EmaKernel(Kernel):
         return self.y if self.n >= self.window else None
 
 
-class AlmaKernel(Buffered):
+class AlmaKernel(Kernel):
     def __init__(self, window, sigma, offset):
-        super().__init__(window)
         m, s = offset * (window + 1), window / sigma
         self.table = [math.exp(-((i - m) ** 2) / (2 * s * s)) for i in range(window)]
+        self.weighted, self.weights = Sliding(window), Sliding(window)
 
     def step(self, x):
-        q = self.values
-        weight = self.table[min(len(q), self.window - 1)]
-        if len(q) >= self.window:
-            q.popleft()
-        q.append((x, weight))
-        return math.fsum(a * w for a, w in q) / math.fsum(w for _, w in q)
+        weight = self.table[min(len(self.weights.values), len(self.table) - 1)]
+        return self.weighted.add(x * weight) / self.weights.add(weight)
 
 
 class LagKernel(Buffered):
@@ -176,17 +197,16 @@ class HLNormalizerKernel(Buffered):
         return 0.0 if self.low == self.high else 2 * (x - self.low) / (self.high - self.low) - 1
 
 
-class CumulativeKernel(Buffered):
+class CumulativeKernel(Kernel):
     first = None
 
+    def __init__(self, window):
+        self.sum = Sliding(window)
+
     def step(self, x):
         if self.first is None:
             self.first = x
-        q = self.values
-        if len(q) >= self.window:
-            q.popleft()
-        q.append(x)
-        return math.fsum(q) + self.first
+        return self.sum.add(x) + self.first
 
 
 class RocKernel(Buffered):
@@ -266,36 +286,30 @@ class VstKernel(Kernel):
         return x / std if std else x
 
 
-class BinaryEntropyKernel(Buffered):
+class BinaryEntropyKernel(Kernel):
+    def __init__(self, window):
+        self.sum = Sliding(window)
+
     def step(self, x):
-        q = self.values
-        if len(q) >= self.window:
-            q.popleft()
-        q.append(x >= 0)
-        p = sum(q) / len(q)
+        p = self.sum.add(1.0 if x >= 0 else 0.0) / len(self.sum.values)
         return 0.0 if p in (0.0, 1.0) else -(p * math.log2(p) + (1 - p) * math.log2(1 - p))
 
 
-class ChangesKernel(Buffered):
+class ChangesKernel(Kernel):
     """Sums of the gains and the losses of the window, of which the first change is 0."""
 
     before = None
     held = 0.0
 
     def __init__(self, window, percent):
-        super().__init__(window)
-        self.percent, self.n = percent, 0
+        self.window, self.percent, self.n = window, percent, 0
+        self.gains, self.losses = Sliding(window), Sliding(window)
 
     def step(self, x):
         change = 0.0 if self.before is None else x - self.before
         self.before = x
-        q = self.values
-        if len(q) >= self.window:
-            q.popleft()
-        q.append(change)
         self.n += 1
-        up = math.fsum(c for c in q if c > 0)
-        down = -math.fsum(c for c in q if c < 0)
+        up, down = self.gains.add(max(change, 0.0)), self.losses.add(max(-change, 0.0))
         if self.percent:
             value = 100.0 if down == 0 else 100 - 100 / (1 + up / down)
         else:
@@ -326,25 +340,38 @@ class NoiseEliminationKernel(Buffered):
 
 
 class PlacesKernel(Buffered):
-    """Trend correlation or centre of gravity, from the values of the window and their places."""
+    """Trend correlation or centre of gravity, from sums over the window of values, squares and values by place.
+
+    When the oldest leaves, every other place falls by one. The sums are renewed exactly once a window.
+    """
 
     def __init__(self, window, trend):
         super().__init__(window)
-        self.trend = trend
+        self.trend, self.age = trend, 0
+        self.total = self.placed = self.squared = 0.0
         self.out = 0.0 if trend else None
 
     def step(self, x):
-        q = self.values
-        if len(q) >= self.window:
-            q.popleft()
+        q, w = self.values, self.window
+        if len(q) >= w:
+            oldest = q.popleft()
+            self.total -= oldest
+            self.placed -= self.total
+            self.squared -= oldest * oldest
+        self.placed += len(q) * x
+        self.total += x
+        self.squared += x * x
         q.append(x)
-        n, w = len(q), self.window
-        total = math.fsum(q)
-        placed = math.fsum(i * a for i, a in enumerate(q))
+        self.age += 1
+        if self.age >= w:
+            self.age = 0
+            self.total, self.squared = math.fsum(q), math.fsum(a * a for a in q)
+            self.placed = math.fsum(i * a for i, a in enumerate(q))
+        n, total, placed = len(q), self.total, self.placed
         if not self.trend:
             return -(n * total - placed) / total + (n + 1) / 2 if total else 0.0
         places, squares = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
-        sx, sy = w * math.fsum(a * a for a in q) - total * total, w * squares - places * places
+        sx, sy = w * self.squared - total * total, w * squares - places * places
         return (w * placed - total * places) / math.sqrt(sx * sy) if sx > 0 and sy > 0 else 0.0
 
 
@@ -382,17 +409,16 @@ class CyberCycleKernel(Buffered):
 class EfficiencyKernel(Buffered):
     def __init__(self, window, smoother):
         super().__init__(window)
-        self.smoother = smoother
+        self.smoother, self.path = smoother, Sliding(window - 2)
 
     def step(self, x):
-        q = self.values
-        if len(q) >= self.window:
+        q, w = self.values, self.window
+        path = self.path.add(math.sqrt((x - q[-1]) ** 2 + 1)) if q else None
+        if len(q) >= w:
             q.popleft()
         q.append(x)
-        w = self.window
         if len(q) < w:
             return None
-        path = math.fsum(math.sqrt((q[-k] - q[-k - 1]) ** 2 + 1) for k in range(1, w - 1))
         p = math.sqrt((x - q[0]) ** 2 + w * w) / path
         return self.smoother.step(-p if x < q[-2] else p)
 
