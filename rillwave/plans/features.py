@@ -12,6 +12,14 @@ from rillwave.plans.scan import scan
 from rillwave.plans.windows import WindowPlan, expressible
 
 
+#: Longest window for which a frame is taken: Spark sums a frame anew for each row, the scan keeps its sums.
+FRAME = 128
+
+
+def _short(view: View) -> bool:
+    return all(getattr(n, "window", 1) <= FRAME for n in view.nodes())
+
+
 def _list(x: str | list[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
@@ -34,8 +42,8 @@ def features(
     order must be total within a series. A null value is no update: outputs keep what they were, unless
     nulls="absent" promises that there are none, which saves a pass. drop_warmup keeps rows on which every output
     is ready; strict raises on infinite and NaN values, and on a division by 0. dtype="float" rounds the outputs.
-    engine "window" or "scan" forces a form; "auto" takes windows where all outputs have that form, as they stay
-    in compiled expressions, else a single scan for all. Both need one exchange, by key.
+    engine "window" or "scan" forces a form; "auto" takes windows where all outputs have that form and no window is
+    longer than FRAME, as they stay in the JVM, else a single scan for all. Both need one exchange, by key.
     """
     key, order = _list(key), _list(order)
     if not outputs:
@@ -49,7 +57,7 @@ def features(
     windows = all(expressible(r) for r in roots)
     if engine == "window" and not windows:
         raise ValueError("a view of these outputs is recursive: it has no window form")
-    if windows and engine != "scan":
+    if windows and (engine == "window" or engine == "auto" and all(_short(r) for r in roots)):
         plan = WindowPlan(df, key, order, value, strict)
         for root in roots:
             plan.column(root)
