@@ -59,9 +59,7 @@ def features(
         raise ValueError("a view of these outputs is recursive: it has no window form")
     if windows and (engine == "window" or engine == "auto" and all(_short(r) for r in roots)):
         plan = WindowPlan(df, key, order, value, strict)
-        for root in roots:
-            plan.column(root)
-        columns = {name: plan.result(root, nulls) for name, root in outputs.items()}
+        columns = plan.results(dict(outputs), nulls)
         result = plan.df.select(*df.columns, *[c.alias(name) for name, c in columns.items()])
     else:
         result = scan(df, key, order, value, roots, list(outputs), strict, nulls)

@@ -204,11 +204,12 @@ class WindowPlan:
         sy = w * squares - places * places
         return F.when((sx > 0) & (sy > 0), (w * p - s * places) / F.sqrt(sx * sy)).otherwise(F.lit(0.0))
 
-    def result(self, view: v.View, nulls: str) -> Column:
-        """The view's output; on rows with a null input the output before, if nulls is hold."""
-        out = F.col(self.column(view))
+    def results(self, views: dict[str, v.View], nulls: str) -> dict[str, Column]:
+        """The outputs by name; on rows with a null input the outputs before, if nulls is hold."""
+        outs = {name: F.col(self.column(view)) for name, view in views.items()}
         if nulls == "absent":
-            return out
+            return outs
         series = Window.partitionBy(*self.key).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
-        held = F.last(F.when(F.col(self.input_ready), F.struct(out.alias("out"))), ignorenulls=True).over(series)
-        return F.when(held.isNull(), out).otherwise(held["out"])
+        both = F.struct(*[out.alias(f"o{i}") for i, out in enumerate(outs.values())])
+        held = F.col(self._add(F.last(F.when(F.col(self.input_ready), both), ignorenulls=True).over(series)))
+        return {name: F.when(held.isNull(), out).otherwise(held[f"o{i}"]) for i, (name, out) in enumerate(outs.items())}
