@@ -16,7 +16,7 @@ from rillwave.llm.shingles import MinHash, fingerprint, shingle_set
 from rillwave.plans.workers import importable
 
 #: Coordinates of a signature, and how many must agree. A pair of similarity 0.8 agrees on 38 of 48 in the mean;
-#: fewer than 27 has a probability of 1e-5.
+#: fewer than 27 has a probability of 5e-5.
 COORDINATES = 48
 MATCHES = 27
 PERCENT = 80
