@@ -21,8 +21,9 @@ from rillwave.plans.workers import importable
 #: Labelled documents learnt from, per language at most (about), and languages at most.
 SAMPLE_PER_LANGUAGE = 3_000
 LANGUAGES = 300
-#: Character n-grams of the model at most; words, and scores of words, that a worker remembers.
-FEATURES = 200_000
+#: Character n-grams of the model at most, and counts of n-grams by language; words, and scores of words, that a
+#: worker remembers.
+FEATURES, FEATURE_COUNTS = 200_000, 2_000_000
 REMEMBERED, REMEMBERED_SCORES = 600_000, 6_000_000
 #: Log-probability that a change of language between two words costs.
 SWITCH = 12.0
@@ -101,13 +102,13 @@ class Model:
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model of the languages of learnable rows (lang not null): counts over a bounded sample of about per_language
-    rows for each language. What reaches the driver is bounded by FEATURES n-grams."""
+    rows for each language. What reaches the driver is bounded by FEATURE_COUNTS counts of n-grams."""
     importable(docs.sparkSession)
     rows = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sample, counts = class_sample(rows, "doc_id", "lang", per_language, LANGUAGES)
     found = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, kind string, what string, n bigint")
     found = stage(found.groupBy("lang", "kind", "what").agg(F.sum("n").alias("n")), "language-counts")
-    top = found.where("kind = 'g'").groupBy("what").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "what").limit(FEATURES)
+    top = found.where("kind = 'g'").groupBy("what").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "what").limit(min(FEATURES, FEATURE_COUNTS // max(1, len(counts))))
     used = found.where("kind = 'g'").join(F.broadcast(top), "what").select("lang", "what", "n").collect()
     languages = sorted(counts)
     at = {lang: i for i, lang in enumerate(languages)}
