@@ -88,6 +88,7 @@ def _reaching(placed: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
         mine = nodes.withColumnsRenamed({"node": "rnode"})
         posts = stage(sigs.join(mine, F.col("node") == F.col("rnode")).select("node", "comp", F.explode("sig").alias("value")), "near-posts")
         shared = posts.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("value")
+        shared = stage(shared, "near-shared")
         nodes = stage(
             posts.join(shared.hint("merge"), "value", "left_semi").groupBy("node", "comp").agg(F.count(F.lit(1)).alias("live")).where(F.col("live") >= matches).select("node", "comp"),
             "near-nodes",
@@ -113,7 +114,7 @@ def _labelled(lists: DataFrame, edges: DataFrame) -> DataFrame:
     found = stage(components(edges).withColumnRenamed("node", "fnode"), "near-labels")
     placed = lists.join(found, F.col("node") == F.col("fnode"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("fnode")
     several = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least")).where("low <> high")
-    several = stage(several, "near-several")  # staged, so that the join can be split where a list is hot
+    several = stage(several, "near-several")
     return stage(placed.join(several.hint("merge"), "value").drop("low", "high"), "near-placed")
 
 
@@ -129,10 +130,11 @@ def _rarest_members(placed: DataFrame, sets: DataFrame, percent: int) -> DataFra
     common = F.ceil((F.col("n") + least) * percent / (100 + percent) - F.lit(1e-9))
     partners = partners.select(F.col("node").alias("pnode"), "n", (F.col("n") - common + 1).alias("prefix"))
     members = sets.select(F.explode("members").alias("value"), "node")
-    df = members.groupBy("value").agg(F.count(F.lit(1)).alias("df"))
+    df = stage(members.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-frequent")
     mine = Window.partitionBy("node")
     ranked = (
-        members.join(df.hint("merge"), "value")
+        members.join(df.hint("merge"), "value", "left")
+        .withColumn("df", F.coalesce("df", F.lit(1)))
         .withColumn("rank", F.row_number().over(mine.orderBy("df", "value")))
         .withColumn("far", -F.sum(F.log("df")).over(mine))
     )
@@ -231,8 +233,9 @@ def near_duplicates(
         base.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
         "near-classes",
     )
+    # What a join reads by a value that may be hot is staged before, here and below: then the join can be split.
     posts = classes.select("node", "n", F.explode("sig").alias("value"))
-    live = posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    live = stage(posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-live")
     mine = Window.partitionBy("node")
     ranked = (
         posts.join(live.hint("merge"), "value")
