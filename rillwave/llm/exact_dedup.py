@@ -25,8 +25,8 @@ def exact_dedup(docs: DataFrame, content_hash=md5_128) -> DataFrame:
 
     Texts are equal when their normalised bytes are. Of equal texts the row with the most code points in the
     original text stays, of those the smallest doc_id. Null and empty texts form one group. Repeated rows (same
-    doc_id) are separate members of their group, each of which is kept if it carries the keep_id. Other columns
-    of docs are ignored; an empty table gives an empty result.
+    doc_id) are separate members of their group, each of which is kept if it carries the keep_id. A row without
+    doc_id stays only in a group without any. Other columns of docs are ignored; an empty table gives an empty result.
 
     The group-by has the hash and the bytes as its key, hash-partitioned by the hash: copies collapse before the
     shuffle, and two texts that share a hash remain two groups. The groups are staged, so that the join in which
@@ -60,7 +60,7 @@ def exact_dedup(docs: DataFrame, content_hash=md5_128) -> DataFrame:
     )
     groups = stage(groups, "exact-groups")
     return digests.join(groups.hint("merge"), ["h", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 

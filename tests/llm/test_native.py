@@ -29,6 +29,7 @@ def test_exact_dedup_edges(edge_docs, no_docs):
         1: (3, 3, False), 2: (3, 3, False), 3: (3, 3, True), 5: (6, 4, False), 6: (6, 4, True), 7: (6, 4, False),
     }
     assert len(got[6]) == 2 and got[1][0]["text_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert (got[None][0]["keep_id"], got[None][0]["kept"]) == (None, True)
     assert exact_dedup.exact_dedup(no_docs).count() == 0
 
 
