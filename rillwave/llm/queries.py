@@ -65,4 +65,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op5_chat": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op10_quality": quality.ORACLE}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE,
+        "op5_chat": chat.ORACLE,
+        "op6_mixing": mixing.ORACLE,
+        "op7_near_dedup": near_dedup.ORACLE,
+        "op10_quality": quality.ORACLE,
+    }
