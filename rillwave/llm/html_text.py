@@ -40,6 +40,8 @@ MARKS = frozenset(
     subscription tags teaser toolbar warning widget complementary contentinfo alert
     """.split()
 )
+#: Values of class, id, role and itemprop, in lower case without - and _, that mark the article of a page.
+MAINS = frozenset("article articlebody articlecontent content entry entrycontent main maincontent post postbody postcontent story storybody".split())
 BLOCKS = frozenset(
     """
     address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
@@ -85,6 +87,14 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+def _main(attributes: str) -> bool:
+    for name, *values in _ATTRIBUTE.findall(attributes) if "=" in attributes else ():
+        if name.lower() in ("class", "id", "role", "itemprop"):
+            if any(re.sub("[-_]", "", v).lower() in MAINS for v in "".join(values).split()):
+                return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order. section counts the article or main element around a block, 0 for none."""
     out: list[Block] = []
@@ -135,7 +145,7 @@ def blocks(page: str) -> list[Block]:
                     if tag == "body":
                         stack.clear()
                         hidden, outside, section = False, False, 0
-                    if tag in ("article", "main"):
+                    if tag in ("article", "main") or tag in ("div", "section") and not outside and not _marked(m[3]) and _main(m[3]):
                         sections += 1
                         section = section or sections
                     marked = tag != "body" and (tag == "header" and not section or _marked(m[3]))

@@ -85,6 +85,8 @@ def test_html_main_text():
         "The title\nIt was a bright cold day in April, and the clocks were striking thirteen & more of the same for all of us.\nShort.\n"
         "And this is the last of the paragraphs that we have in it, so that it will be good."
     )
+    div = PAGE.replace("<article>", '<div class="post_content wide">').replace("</article>", "</div>")
+    assert html_text.main_text(div)[0] == text
     plain = "<div>The quick brown fox is in the house and it was not for the dog that he had been with all of the day.</div><p>ok</p>"
     assert html_text.main_text(plain)[0].endswith("\nok")
 
