@@ -47,10 +47,10 @@ def stage(df: DataFrame, label: str, scan: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_checked(df: DataFrame, small: DataFrame, on: Column, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_checked(df: DataFrame, small: DataFrame, on: Column, how: str, limit: int | None = None) -> DataFrame:
     """Join with a staged side: broadcast if its counted rows are within limit, else a shuffled join that
     adaptive execution splits on skewed keys."""
-    if small.count() <= limit:
+    if small.count() <= (BROADCAST_ROWS if limit is None else limit):
         small = F.broadcast(small)
     else:
         small = small.hint("merge")

@@ -4,9 +4,10 @@ import re
 
 import pytest
 
-from rillwave.llm import exact_dedup, mixing, pii, quality
 from pyspark.sql import functions as F
 
+from rillwave.llm import common, exact_dedup, mixing, pii, quality
+
 WS = r"[\x20\x09-\x0D]+"
 
 
@@ -158,3 +159,12 @@ def test_pii_finds_identifiers_by_context(spark, no_docs):
     assert [f["kind"] for f in got[101]] == ["email"]  # the same identifier, elsewhere
     assert not any(got[i] for i in range(30))
     assert pii.personal_data(no_docs).count() == 0
+
+
+def test_results_do_not_depend_on_broadcasts(edge_docs, monkeypatch):
+    results = []
+    for rows in (200_000, -1):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+        mixed, judged, spans = mixing.mix(edge_docs), quality.quality(edge_docs), pii.personal_data(edge_docs)
+        results.append([sorted(map(str, df.collect())) for df in (mixed, judged, spans)])
+    assert results[0] == results[1]
