@@ -44,7 +44,17 @@ def stage(df: DataFrame, label: str, scan: bool = False) -> DataFrame:
     if not scan:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing will read any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def join_checked(df: DataFrame, small: DataFrame, on: Column, how: str, limit: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwave.llm.common import stage
+from rillwave.llm.common import stage, unstage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = stage(both.groupBy("a").agg(F.min("b").alias("to")).where("to < a").select(F.col("a").alias("from"), "to"), "cc-hooks")
+        old_labels, old_edges = labels, edges
         labels = stage(
             labels.join(hooks, labels["comp"] == hooks["from"], "left").select("node", F.coalesce("to", "comp").alias("comp")), "cc-labels"
         )
@@ -30,4 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stage(
             moved.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).where("a <> b").distinct(), "cc-edges"
         )
+        unstage(old_labels, old_edges, hooks)
     return labels

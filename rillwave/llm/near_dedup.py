@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillwave.llm.common import join_checked, schema_of, stage
+from rillwave.llm.common import join_checked, schema_of, stage, unstage
 from rillwave.llm.components import components
 from rillwave.llm.shingles import MinHash, fingerprint, shingle_set
 from rillwave.plans.workers import importable
@@ -222,7 +222,7 @@ def near_duplicates(
     signatures (but for cells) and on the full sets.
     """
     importable(docs.sparkSession)
-    base = stage(
+    sketch = stage(
         docs.select("doc_id", "text").mapInArrow(
             _sketched(shingle, coordinates), schema_of(docs, ["doc_id"], "n_shingles bigint, fp binary, sig array<bigint>")
         ),
@@ -230,9 +230,11 @@ def near_duplicates(
         scan=True,
     )
     classes = stage(
-        base.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
+        sketch.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
         "near-classes",
     )
+    base = stage(sketch.select("doc_id", "n_shingles", "fp"), "near-documents")
+    unstage(sketch)
     # What a join reads by a value that may be hot is staged before, here and below: then the join can be split.
     posts = classes.select("node", "n", F.explode("sig").alias("value"))
     live = stage(posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-live")
@@ -245,6 +247,8 @@ def near_duplicates(
     lists = stage(ranked.where((F.col("left") >= matches) & (F.col("rank") <= F.col("left") - matches + 1)).select("value", "node", "n"), "near-lists")
     nodes = stage(lists.select("node").distinct(), "near-nodes")
     sigs = stage(_only(classes.select("node", "n", "sig"), nodes), "near-signatures")
+    names = stage(classes.select("fp", "node"), "near-names")
+    unstage(classes, live)
 
     def sets_of(some: DataFrame) -> DataFrame:
         texts = join_checked(docs.select("doc_id", "text"), some, F.col("doc_id") == F.col("node"), "left_semi", limit=1_000_000)
@@ -275,7 +279,9 @@ def near_duplicates(
             pairs = open_lists.where((F.col("comp") != F.col("pcomp")) & fit).select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b"))
             lists = open_lists.where("node <> pnode").select("value", "node", "n", "far", "rank")
             likely = _likely(pairs.distinct(), sigs, matches)
-            edges = edges.unionByName(_verified(likely, sets if turn else sets_of(_ends(likely)), percent))
+            new = sets if turn else sets_of(_ends(likely))
+            edges = edges.unionByName(_verified(likely, new, percent))
+            unstage(likely, *([] if turn else [new]))
         else:
             small = open_lists.where(F.col("m") <= CELL)
             one = small.select("value", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("comp").alias("c1"), F.col("rank").alias("r1"))
@@ -286,7 +292,7 @@ def near_duplicates(
             large = stage(_in_cells(open_lists.where(F.col("m") > CELL), sets, percent), "near-edges")
             edges = edges.unionByName(new).unionByName(large)
     found = components(edges).withColumnRenamed("node", "fnode")
-    by_class = classes.select("fp", "node").join(found, F.col("node") == F.col("fnode"), "left").select(F.col("fp").alias("cfp"), F.coalesce("comp", "node").alias("comp"))
+    by_class = names.select("fp", "node").join(found, F.col("node") == F.col("fnode"), "left").select(F.col("fp").alias("cfp"), F.coalesce("comp", "node").alias("comp"))
     out = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
     return out.join(stage(by_class, "near-components").hint("merge"), F.col("fp") == F.col("cfp"), "left").select(
         "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("comp", "doc_id")).alias("kept")
