@@ -225,8 +225,12 @@ class Scorer:
         total = abuse + misspelt + stems
         return [math.log1p(abuse), math.log1p(quoted), math.log1p(misspelt), math.log1p(stems), math.log1p(terms), min(1.0, total / n * 5), strongest, math.log1p(n)]
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Features in deviations from their means, within bounds: texts unlike any learnt from are not extrapolated."""
+        return np.clip((x - self.mean) / self.scale, -6.0, 6.0)
+
     def score(self, text: str) -> float:
-        x = (np.array(self.features(text)) - self.mean) / self.scale
+        x = self.scaled(np.array(self.features(text)))
         return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ self.weights[:-1] + self.weights[-1]))))))
 
     def spans(self, text: str) -> list[tuple[int, int, str, float]]:
@@ -327,10 +331,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     data = sample.select("text", "toxic").mapInArrow(featured, "toxic int, x array<double>").collect()
     y = np.array([r["toxic"] for r in data], dtype=float)
     x = np.array([r["x"] for r in data], dtype=float).reshape(len(data), len(FEATURE_NAMES))
-    scorer.mean, scorer.scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 0.25)) if len(x) else (np.zeros(len(FEATURE_NAMES)), np.ones(len(FEATURE_NAMES)))
+    scorer.mean, scorer.scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 0.02)) if len(x) else (np.zeros(len(FEATURE_NAMES)), np.ones(len(FEATURE_NAMES)))
     weight = np.where(y == 1, counts.get(1, 0) / bad, counts.get(0, 0) / good)
     if len(set(y)) == 2:
-        scorer.weights = _fit((x - scorer.mean) / scorer.scale, y, weight / weight.mean())
+        scorer.weights = _fit(scorer.scaled(x), y, weight / weight.mean())
     else:  # nothing to tell apart: everything is scored as the one label there is, or as not toxic
         scorer.weights = np.append(np.zeros(len(FEATURE_NAMES)), 5.0 if 1.0 in y else -5.0)
     return scorer
