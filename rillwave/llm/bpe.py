@@ -7,8 +7,9 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
-import pyarrow as pa
+import ahocorasick
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -43,12 +44,12 @@ class Vocabulary:
         self.unreachable = {rank for rank, token in self.tokens.items() if not self.reachable(token)}
         #: Known pairs, left * 2**32 + right: whether they may stand side by side.
         self.pairs: dict[int, bool] = {}
-        # The lengths, longest first, of the tokens that end in some three bytes.
-        sizes: dict[bytes, set[int]] = {}
-        for token in ranks:
-            if len(token) > 2 and ranks[token] not in self.unreachable:
-                sizes.setdefault(token[-3:], set()).add(len(token))
-        self.sizes = {tail: tuple(sorted(found, reverse=True)) + (2, 1) for tail, found in sizes.items()}
+        # Finds all tokens that end at each byte, the longest first; it reads bytes as Latin-1.
+        self.ends = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            if rank not in self.unreachable:
+                self.ends.add_word(token.decode("latin-1"), (len(token), rank))
+        self.ends.make_automaton()
 
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes the token; None for a byte; ValueError if no merging makes it."""
@@ -99,23 +100,23 @@ class Vocabulary:
 
     def last_tokens(self, data: bytes, last: list[int], start: int, stop: int) -> None:
         """Appends to last the last tokens of the prefixes of start to stop bytes, given those before."""
-        get, known, sizes_of, unreachable = self.ranks.get, self.pairs.get, self.sizes.get, self.unreachable
-        for i in range(start, stop + 1):
-            for size in sizes_of(data[i - 3 : i], (2, 1)) if i > 2 else (2, 1):
-                if size > i:
-                    continue
-                token = get(data[i - size : i])
-                if token is None or unreachable and token in unreachable:
-                    continue
-                before = last[i - size]
-                if before < 0:
-                    break
+        base, known = max(0, start - self.longest), self.pairs.get
+        i = start
+        for end, (size, token) in self.ends.iter(data[base:stop].decode("latin-1")):
+            at = base + end + 1
+            if at < i:
+                continue
+            if at > i:
+                break
+            before = last[i - size]
+            if before >= 0:
                 stands = known(before << 32 | token)
-                if stands or stands is None and self.neighbours(before, token):
-                    break
-            else:
-                raise ValueError(f"byte {data[i - 1 : i]!r} is not in the vocabulary")
+                if not stands and (stands is not None or not self.neighbours(before, token)):
+                    continue
             last.append(token)
+            i += 1
+        if i <= stop:
+            raise ValueError(f"byte {data[i - 1 : i]!r} is not in the vocabulary")
 
     def trace(self, n: int, last: list[int]) -> list[int]:
         """The ids of the first n bytes, from their last tokens."""
