@@ -6,7 +6,6 @@ the ticks of its source, its rows with an output, numbered by t. Recursive views
 
 from __future__ import annotations
 
-import math
 
 from rillwave.operators import kernels
 from rillwave.operators import views as v
