@@ -109,7 +109,6 @@ def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     ranked = merged.withColumn("upto", F.sum("n").over(up_to.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "all", F.sum("n").over(Window.partitionBy(*by, "measure"))
     )
-    q = lambda p: F.min(F.when(4 * F.col("upto") >= p * F.col("all"), F.col("bin")))
     aggs = [F.max("all").alias("docs")]
     for name, _, _ in MEASURES:
         mine = F.col("measure") == name

@@ -3,7 +3,6 @@ import re
 
 import numpy as np
 
-from pyspark.sql import functions as F
 from rillwave.llm import near_dedup
 from rillwave.llm.components import components
 from rillwave.llm.shingles import shingle_set

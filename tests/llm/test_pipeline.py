@@ -4,7 +4,6 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from rillwave.llm import bpe, quality
 from rillwave.llm.mixing import mix
 
 
