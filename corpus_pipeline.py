@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwave.llm.bpe import encode_decode
-from rillwave.llm.common import shared_dir
+from rillwave.llm.common import shared_dir, staging
 from rillwave.llm.exact_dedup import exact_dedup
 from rillwave.llm.mixing import mix
 from rillwave.llm.near_dedup import near_duplicates
@@ -70,6 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for at, (_, function) in enumerate(STAGES):
         out = f"{folder}/{at}"
-        function(spark, docs, sf_dir).write.parquet(out)
+        with staging():
+            function(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs

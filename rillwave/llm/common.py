@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def staging() -> Iterator[None]:
+    """Removes the tables staged within, at the end: for whoever writes a result inside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        unstage(*_scopes.pop())
+
+
 def stage(df: DataFrame, label: str, scan: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and return the written table.
 
     What a scan of texts makes is written as it is read. Other tables, which come out of a shuffle, are written by
     four tasks for each core at most: enough for all cores, without a file for each of many small partitions.
 
-    Cuts the lineage: a lost executor costs only the files' re-read. The folder's owner removes the tables
-    when the job's result has been written.
+    Cuts the lineage: a lost executor costs only the files' re-read. Who writes the final
+    result can do so within staging(), which removes the tables then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -46,6 +61,8 @@ def stage(df: DataFrame, label: str, scan: bool = False) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.staged_at = path
+    if _scopes:
+        _scopes[-1].append(table)
     return table
 
 

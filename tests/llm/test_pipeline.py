@@ -1,9 +1,11 @@
+import os
 import random
 
 import corpus_pipeline
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from rillwave.llm.common import shared_dir
 from rillwave.llm.mixing import mix
 
 
@@ -44,7 +46,9 @@ def test_stages_match_what_they_promise(spark, tmp_path):
     mixed = sorted(r["doc_id"] for r in seen[3][2].collect())
     assert mixed == sorted(r["doc_id"] for r in mix(seen[3][1]).collect()) == sorted(r["doc_id"] for r in seen[4][2].collect())
     assert {r["n_copies"] for r in seen[3][2].collect()} == {5}
+    before = set(os.listdir(shared_dir(spark)))
     whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert [n.split("-")[0] for n in set(os.listdir(shared_dir(spark))) - before] == ["pipeline"]
     assert sorted(r["doc_id"] for r in whole.collect()) == mixed
 
 
