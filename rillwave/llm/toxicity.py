@@ -307,9 +307,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     for s in list(stems):
         if sum(w.startswith(s) for w in whole) == 1 and next(r["a"] for r in chosen if r["kind"] == "s" and r["what"] == s) <= max(a for w, (a, _) in whole.items() if w.startswith(s)):
             del stems[s]
+    # Whole words stay terms under a stem too: only terms are matched with edits.
     for w, (_, weight) in list(whole.items())[:TERMS]:
-        if not any(w[:k] in stems for k in range(STEM[0], len(w) + 1)):
-            terms[w] = weight
+        terms[w] = weight
     draft = Scorer(Lexicon(terms, stems))
 
     def misspelt(batches):

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -213,3 +214,21 @@ def test_toxicity_held_out(spark, edge_docs, no_docs):
     assert scorer.score("you are a w0rthless idi0t and patetic") > scorer.score('she quoted the word "idiot" in it') and scorer.score("") < 0.5
     assert toxicity.score(edge_docs, scorer).count() == 11 and toxicity.score(no_docs, scorer).count() == 0
     assert 0 <= toxicity.train(no_docs, marks.limit(0)).score("x") <= 1
+
+
+def toxic_tables(spark, toxic, clean):
+    """Learnable documents and labels: so many filler words around the given texts."""
+    rng = random.Random(4)
+    filler = lambda: " ".join(f"word{rng.randrange(80)}" for _ in range(20))
+    ids = [i for i in range(6 * (len(toxic) + len(clean))) if zlib.crc32(str(i).encode()) % 3 != 1]
+    texts = [(1, t) for t in toxic] + [(0, t) for t in clean]
+    rows = [(i, f"{filler()} {t} {filler()}", label) for i, (label, t) in zip(ids, texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return df.select("doc_id", "text"), df.select("doc_id", F.lit(1).alias("quality"), "toxic")
+
+
+def test_terms_under_a_stem_match_with_edits(spark):
+    scorer = toxicity.train(*toxic_tables(spark, ["idiot"] * 40 + ["idiots idiotic"] * 4, [""] * 150))
+    assert "idio" in scorer.lexicon.stems and "idiot" in scorer.lexicon.terms
+    for word, hit in {"idiot": ("idiot", 0), "id1ot": ("idiot", 1), "1diot": ("idiot", 1), "idiotism": ("idio", -1)}.items():
+        assert scorer.lexicon.match(word) == hit
