@@ -15,8 +15,9 @@ MIN_DOCS = 30
 #: A measure may lie beyond its quartiles by so many spreads; texts under SHORT words get twice that.
 SPREADS = 4
 SHORT = 100
-#: Thousandths at which a sketch ends; larger measures count in its last bin.
+#: Thousandths up to which each value is a bin of its own; from there on bins grow: they keep BITS leading bits of a value.
 TOP = 100_000
+BITS = 17
 #: Measures in thousandths with the least spread each is given: (name, spread, whether low values fail too).
 MEASURES = (("word_len", 300, True), ("symbols", 50, False), ("dup_lines", 125, False), ("repeats", 60, False))
 
@@ -75,7 +76,7 @@ def measured(df: DataFrame) -> DataFrame:
     """Adds base_failed and the measures, whole thousandths by integer division (exact, so alike on every engine)."""
 
     def per(part: str, whole: str) -> Column:
-        value = F.expr(f"CASE WHEN {whole} > 0 THEN least((1000 * {part}) DIV {whole}, {TOP}) ELSE 0 END")
+        value = F.expr(f"CASE WHEN {whole} > 0 THEN (1000 * {part}) DIV {whole} ELSE 0 END")
         return value.cast("long")
 
     return (
@@ -87,19 +88,40 @@ def measured(df: DataFrame) -> DataFrame:
     )
 
 
+def _bin(name: str) -> Column:
+    """The least value of the bin that a value is in."""
+    low = f"greatest(length(bin({name})) - {BITS}, 0)"
+    return F.expr(f"CASE WHEN {name} < {TOP} THEN {name} ELSE shiftleft(shiftright({name}, {low}), {low}) END")
+
+
+def _values(df: DataFrame) -> DataFrame:
+    """lang, source, measure, bin, value of each measure that counts in sketches."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), _bin(name).alias("bin"), F.col(name).alias("value")) for name, _, _ in MEASURES]))
+    return df.where(~F.col("base_failed")).select("lang", "source", pairs.alias("x")).select("lang", "source", "x.*")
+
+
 def sketches(df: DataFrame) -> DataFrame:
-    """lang, source, measure, bin, n: a histogram in whole thousandths per language and source.
+    """lang, source, measure, bin, n: a histogram of whole thousandths per language and source.
 
-    It is a quantile sketch with an absolute error of one thousandth and a fixed number of bins. Sketches merge
+    It is a quantile sketch with a fixed number of bins, exact where a bin is one value. Sketches merge
     by adding counts, before the shuffle too, so a hot source sends each task's bins and not its rows.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(name).alias("bin")) for name, _, _ in MEASURES]))
-    return (
-        df.where(~F.col("base_failed"))
-        .select("lang", "source", pairs.alias("x"))
-        .groupBy("lang", "source", F.col("x.measure").alias("measure"), F.col("x.bin").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return _values(df).groupBy("lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def limits_of(rows: DataFrame) -> DataFrame:
+    """The exact thresholds of measured rows. Bins of several values in which a quartile lies are counted anew by value."""
+    sketch = stage(sketches(rows), "quality-sketch")
+    limits = stage(thresholds(sketch), "quality-limits")
+    met = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col(f"{name}_q{p}").alias("bin")) for name, _, _ in MEASURES for p in (1, 3)]))
+    wide = stage(limits.select(met.alias("x")).where(F.col("x.bin") >= 1 << BITS).select(F.col("x.measure").alias("m"), F.col("x.bin").alias("b")).distinct(), "quality-bins")
+    if wide.isEmpty():
+        return limits
+    open_ = lambda df: (df["measure"] == wide["m"]) & (df["bin"] == wide["b"])
+    large = _values(rows).where(F.col("bin") >= 1 << BITS)
+    exact = join_checked(large, wide, open_(large), "left_semi").groupBy("lang", "source", "measure", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    rest = join_checked(sketch, wide, open_(sketch), "left_anti")
+    return stage(thresholds(stage(rest.unionByName(exact), "quality-sketch")), "quality-limits")
 
 
 def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -143,8 +165,7 @@ def quality(docs: DataFrame) -> DataFrame:
     consists of failed documents only. The counts are staged once for both uses, and carry no text.
     """
     rows = stage(measured(counted(docs)), "quality-counts", scan=True)
-    sketch = stage(sketches(rows), "quality-sketch")
-    limits = stage(thresholds(sketch), "quality-limits")
+    limits = limits_of(rows)
     same = rows["lang"].eqNullSafe(limits["t_lang"]) & rows["source"].eqNullSafe(limits["t_source"])
     joined = join_checked(rows, limits, same, "left")
     slack = F.when(F.col("n_words") < SHORT, F.lit(2 * SPREADS)).otherwise(F.lit(SPREADS))

@@ -168,3 +168,23 @@ def test_results_do_not_depend_on_broadcasts(edge_docs, monkeypatch):
         mixed, judged, spans = mixing.mix(edge_docs), quality.quality(edge_docs), pii.personal_data(edge_docs)
         results.append([sorted(map(str, df.collect())) for df in (mixed, judged, spans)])
     assert results[0] == results[1]
+
+
+def test_quality_judges_large_measures_unclipped(spark):
+    def text(i):
+        return " ".join(str(1000 + 30 * i + k).rjust(60 + i, "x") for k in range(25))
+
+    docs = spark.createDataFrame([(i, text(i), "zh", "web") for i in range(0, 201, 2)], "doc_id long, text string, lang string, source string")
+    assert all(r["kept"] for r in quality.quality(docs).collect())
+
+
+def test_quality_limits_are_exact_for_large_values(spark):
+    rng = random.Random(5)
+    rows = [(f"l{i % 2}", f"s{i % 3}", False, *[int(10 ** rng.uniform(4.5, 9)) for _ in quality.MEASURES]) for i in range(900)]
+    df = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, " + ", ".join(f"{m} long" for m, _, _ in quality.MEASURES))
+    got = quality.limits_of(df).collect()
+    assert len(got) == 6
+    for r in got:
+        for k, (name, _, _) in enumerate(quality.MEASURES):
+            values = sorted(x[3 + k] for x in rows if x[:2] == (r["t_lang"], r["t_source"]))
+            assert (r[f"{name}_q1"], r[f"{name}_q3"]) == (values[-(-len(values) // 4) - 1], values[-(-3 * len(values) // 4) - 1])
