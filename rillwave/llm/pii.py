@@ -107,7 +107,8 @@ def discover(docs: DataFrame, df: DataFrame) -> DataFrame:
     The word before a base span is a pattern of its kind. A pattern's confidence is the share of all occurrences
     of the word, in the whole corpus, that an identifier of the kind follows; each counts with its own confidence,
     1 for a base span, else the noisy-or of the confidences of the patterns it occurs with. TURNS turns spread the
-    confidence over the graph of patterns and identifiers; tokens of the kind's shape that reach CONFIDENCE are found.
+    confidence over the graph of patterns and identifiers; tokens of the kind's shape that reach CONFIDENCE are found,
+    wherever they stand: one without a word before it has no part in the graph, but may be known from elsewhere.
     """
 
     def seed(kind: str) -> Column:
@@ -133,11 +134,11 @@ def discover(docs: DataFrame, df: DataFrame) -> DataFrame:
         "key", "doc_id", F.col("x.s").alias("s"), (F.col("x.s") + F.char_length(trimmed)).alias("e"), F.lower(trimmed).alias("value"), _context(F.col("x.left")).alias("word")
     )
     kinds = F.array_compact(F.array(*[F.when(F.col("value").rlike(SHAPES[k]), F.lit(k)) for k in KINDS]))
-    shaped = stage(tokens.where("word <> ''").select("key", "doc_id", "s", "e", F.explode(kinds).alias("kind"), "word", "value"), "pii-candidates", scan=True)
+    shaped = stage(tokens.select("key", "doc_id", "s", "e", F.explode(kinds).alias("kind"), "word", "value"), "pii-candidates", scan=True)
 
     known = seeds.select("kind", "value").distinct().withColumn("seed", F.lit(True))
     edges = (
-        seeds.unionByName(shaped.groupBy("kind", "word", "value").agg(F.count(F.lit(1)).alias("n")))
+        seeds.unionByName(shaped.where("word <> ''").groupBy("kind", "word", "value").agg(F.count(F.lit(1)).alias("n")))
         .groupBy("kind", "word", "value")
         .agg(F.sum("n").alias("n"))
         .join(known, ["kind", "value"], "left")

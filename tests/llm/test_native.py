@@ -188,3 +188,12 @@ def test_quality_limits_are_exact_for_large_values(spark):
         for k, (name, _, _) in enumerate(quality.MEASURES):
             values = sorted(x[3 + k] for x in rows if x[:2] == (r["t_lang"], r["t_source"]))
             assert (r[f"{name}_q1"], r[f"{name}_q3"]) == (values[-(-len(values) // 4) - 1], values[-(-3 * len(values) // 4) - 1])
+
+
+def test_pii_finds_known_identifiers_without_a_word_before(spark):
+    rows = [(i, f"Please write to acct-mail: user{i}@host.example.org today, or call the office") for i in range(30)]
+    rows += [(100, "write to acct-mail: jim[at]host.org today"), (101, "write to acct-mail: ann[at]host.org today")]
+    texts = {102: "jim[at]host.org wrote", 103: "mail a@b.org, jim[at]host.org, ann[at]host.org", 104: "eve[at]host.org wrote"}
+    got = {r["doc_id"]: r["found"] for r in pii.personal_data(spark.createDataFrame(rows + list(texts.items()), "doc_id long, text string")).collect()}
+    found = {i: [texts[i][f["s"] : f["e"]] for f in got[i]] for i in texts}
+    assert found == {102: ["jim[at]host.org"], 103: ["jim[at]host.org", "ann[at]host.org"], 104: []}
