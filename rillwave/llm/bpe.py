@@ -225,17 +225,20 @@ class Coder:
 
 
 class TextTable:
-    """A growing text and its ids: appended text changes no piece but the last."""
+    """A growing text and its ids. Appended text can change the last two pieces (' and r before e are one piece), and
+    those before them back to the first that still ends where it did."""
 
     def __init__(self, coder: Coder, text: str = ""):
         self.coder, self.starts, self.parts, self.text = coder, [], [], ""
         self.append(text)
 
     def append(self, text: str) -> None:
-        start = self.starts.pop() if self.starts else 0
-        if self.parts:
-            self.parts.pop()
         self.text += text
+        keep = max(0, len(self.starts) - 2)
+        while keep and self.coder.pattern.match(self.text, self.starts[keep - 1]).end() != self.starts[keep]:
+            keep -= 1
+        start = self.starts[keep] if self.starts else 0
+        del self.starts[keep:], self.parts[keep:]
         for m in self.coder.pattern.finditer(self.text, start):
             self.starts.append(m.start())
             self.parts.append(self.coder.pieces[m.group()])

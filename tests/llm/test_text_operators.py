@@ -61,6 +61,21 @@ def test_text_table_grows(coder, reference):
     assert table.ids() == reference.encode_ordinary(text)
 
 
+def test_text_table_grows_inside_contractions(coder, reference):
+    rng = random.Random(7)
+    parts = ["'", "r", "e", "v", "l", "ll", "'re", "'ve", "'ll", "they", " ", "  ", "\n", "!", "1", "é"]
+    texts = ["they're here", "you'll", "I've", "we'll've", *["".join(rng.choice(parts) for _ in range(30)) for _ in range(200)]]
+    for text in texts:
+        for at in range(len(text) + 1):
+            table = bpe.TextTable(coder, text[:at])
+            table.append(text[at:])
+            assert table.ids() == reference.encode_ordinary(text)
+        letters = bpe.TextTable(coder)
+        for c in text:
+            letters.append(c)
+        assert letters.ids() == reference.encode_ordinary(text)
+
+
 def test_bpe_edges(edge_docs, no_docs, reference):
     rows = bpe.encode_decode(edge_docs, PATH, ("ids", "decoded", "ids_sha256", "decoded_sha256")).collect()
     texts = {r["doc_id"]: r["text"] or "" for r in edge_docs.collect()}
