@@ -24,6 +24,9 @@ SAMPLE_PER_LABEL = 4_000
 TERMS = 600
 #: A term is in so many toxic documents of the sample at least, and so many times as often in them as in others.
 TERM_DOCS, TERM_LIFT = 5, 12.0
+#: A word near a term that other documents have too is still a misspelling if the toxic ones have it so many times as
+#: often, and so many documents more.
+NEAR_DOCS, NEAR_LIFT = 3, 2.0
 #: Stems are prefixes of these lengths that many different words begin with.
 STEM = (4, 9)
 #: Terms of so many letters may be misspelt by one edit, of so many by two.
@@ -280,8 +283,8 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Scorer:
     """A scorer learnt from learnable labelled rows: about per_label of each label, weighted back to all of them.
 
-    Terms and stems are those much more frequent in toxic documents of the sample. Words of its other documents
-    that an automaton would take for a misspelt term are noted as clean.
+    Terms and stems are those much more frequent in toxic documents of the sample. Words that an automaton
+    would take for a misspelt term are noted as clean if other documents have them and toxic ones not clearly more often.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -315,13 +318,17 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     def misspelt(batches):
         for batch in batches:
             words = Counter()
-            for text in batch.column("text"):
+            for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
                 hits, all_words = draft.hits(text.as_py())
-                words.update({all_words[i].lower() for i, _, edits in hits if edits > 0})
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["what", "n"])
-
-    near = sample.where("toxic = 0").select("text").mapInArrow(misspelt, "what string, n bigint").groupBy("what").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "what").limit(20_000).collect()
-    scorer = Scorer(Lexicon(terms, stems, frozenset(r["what"] for r in near)))
+                label = toxic.as_py()
+                words.update((w, label) for w in {all_words[i].lower() for i, _, edits in hits if edits > 0})
+            what, labels = [w for w, _ in words], [label for _, label in words]
+            yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(labels, pa.int32()), pa.array(list(words.values()), pa.int64())], ["what", "toxic", "n"])
+
+    near = sample.select("text", "toxic").mapInArrow(misspelt, "what string, toxic int, n bigint").groupBy("what")
+    near = near.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
+    clean = near.where((F.col("b") > 0) & (F.col("a") < NEAR_DOCS + NEAR_LIFT * F.col("b") * bad / good)).select("what").collect()
+    scorer = Scorer(Lexicon(terms, stems, frozenset(r["what"] for r in clean)))
 
     def featured(batches):
         for batch in batches:

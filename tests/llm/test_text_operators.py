@@ -247,3 +247,9 @@ def test_terms_under_a_stem_match_with_edits(spark):
     assert "idio" in scorer.lexicon.stems and "idiot" in scorer.lexicon.terms
     for word, hit in {"idiot": ("idiot", 0), "id1ot": ("idiot", 1), "1diot": ("idiot", 1), "idiotism": ("idio", -1)}.items():
         assert scorer.lexicon.match(word) == hit
+
+
+def test_one_quoted_misspelling_stays_a_misspelling(spark):
+    toxic = ["idiot"] * 30 + ["idi0t"] * 10 + ["idiom"]
+    scorer = toxicity.train(*toxic_tables(spark, toxic, ['he wrote "idi0t" there'] + ["an idiom"] * 4 + [""] * 60))
+    assert scorer.lexicon.match("idi0t") is not None and scorer.lexicon.match("idiom") is None
