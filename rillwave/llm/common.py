@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -24,54 +25,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share. Where the session names none, a temporary one in local mode (tests);
+    on a cluster that would be another folder on each machine, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="rillwave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-_scopes: list[list[DataFrame]] = []
+_local = threading.local()
+
+
+def _scopes() -> list[list[DataFrame]]:
+    """The open staging() blocks of this thread."""
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
 
 
 @contextmanager
 def staging() -> Iterator[None]:
     """Removes the tables staged within, at the end: for whoever writes a result inside."""
-    _scopes.append([])
+    scopes = _scopes()
+    scopes.append([])
     try:
         yield
     finally:
-        unstage(*_scopes.pop())
+        unstage(*scopes.pop())
 
 
-def stage(df: DataFrame, label: str, scan: bool = False) -> DataFrame:
+def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and return the written table.
 
-    What a scan of texts makes is written as it is read. Other tables, which come out of a shuffle, are written by
-    four tasks for each core at most: enough for all cores, without a file for each of many small partitions.
-
-    Cuts the lineage: a lost executor costs only the files' re-read. Who writes the final
-    result can do so within staging(), which removes the tables then.
+    Cuts the lineage: a lost executor costs only the files' re-read. How many tasks write is left to Spark: adaptive
+    execution merges small partitions of a shuffle, and no bound stands in the way of large ones. Whoever writes the
+    final result can do so within staging(), which removes the tables then; others go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if not scan:
-        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.staged_at = path
-    if _scopes:
-        _scopes[-1].append(table)
+    _files(table, lambda fs, p: fs.deleteOnExit(p))
+    scopes = _scopes()
+    if scopes:
+        scopes[-1].append(table)
     return table
 
 
 def unstage(*tables: DataFrame) -> None:
     """Remove staged tables that nothing will read any more."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_at)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _files(t, lambda fs, p: (fs.delete(p, True), fs.cancelDeleteOnExit(p)))
+
+
+def _files(staged: DataFrame, act) -> None:
+    """act(file system, path) on the JVM's view of a staged table."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
+    act(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path)
 
 
 def join_checked(df: DataFrame, small: DataFrame, on: Column, how: str, limit: int | None = None) -> DataFrame:

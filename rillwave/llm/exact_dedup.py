@@ -26,7 +26,7 @@ def exact_dedup(docs: DataFrame, content_hash=md5_128) -> DataFrame:
     Texts are equal when their normalised bytes are. Of equal texts the row with the most code points in the
     original text stays, of those the smallest doc_id. Null and empty texts form one group. Repeated rows (same
     doc_id) are separate members of their group, each of which is kept if it carries the keep_id. A row without
-    doc_id stays only in a group without any. Other columns of docs are ignored; an empty table gives an empty result.
+    doc_id stays only in a group without any. Very long texts are compared whole. Other columns of docs are ignored; an empty table gives an empty result.
 
     The group-by has the hash and the bytes as its key, hash-partitioned by the hash: copies collapse before the
     shuffle, and two texts that share a hash remain two groups. The groups are staged, so that the join in which
@@ -40,7 +40,7 @@ def exact_dedup(docs: DataFrame, content_hash=md5_128) -> DataFrame:
         .withColumn("norm", normalised(F.col("text")))
         .select("doc_id", F.char_length("text").alias("len"), "norm", content_hash(F.col("norm")).alias("h"))
     )
-    digests = stage(keyed.select("doc_id", "len", "h", F.sha2("norm", 256).alias("text_sha256")), "exact-digests", scan=True)
+    digests = stage(keyed.select("doc_id", "len", "h", F.sha2("norm", 256).alias("text_sha256")), "exact-digests")
 
     # Longest original first, then smallest id: one comparable fixed-width value, so the aggregate hashes.
     rank = F.col("len").cast("decimal(10,0)") * F.lit(_SPAN).cast("decimal(20,0)") + (

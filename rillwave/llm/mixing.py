@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
 
     A document appears k times, k being the Poisson quantile (mean: its source's rate) of a hash of seed and
     doc_id: the same on every run and for any partitioning. Rows with a null doc_id share one draw, repeated
-    rows too. Every copy goes to the partition of its shuffle_key, a hash, and is sorted by it there: a random
+    rows too; ties in shuffle_key stand in any order. Null, empty and very long texts pass through. Every copy goes to the partition of its shuffle_key, a hash, and is sorted by it there: a random
     order in which no source or key is hot. The source table is joined by broadcast only below a counted bound.
     Extra columns pass through; an added column whose name is taken gets an underscore behind it. An empty table
     gives an empty result.
