@@ -15,13 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwave.llm.common import schema_of, stage
+from rillwave.llm.common import join_checked, schema_of, stage
 from rillwave.llm.sampling import class_sample, held_out, learnable
 from rillwave.plans.workers import importable
 
-#: Labelled documents learnt from, per label (about), and terms of the lexicon at most.
+#: Labelled documents learnt from, per label (about). It bounds the lexicon too: every word and stem that passes is a term.
 SAMPLE_PER_LABEL = 4_000
-TERMS = 600
 #: A term is in so many toxic documents of the sample at least, and so many times as often in them as in others.
 TERM_DOCS, TERM_LIFT = 5, 12.0
 #: A word near a term that other documents have too is still a misspelling if the toxic ones have it so many times as
@@ -139,7 +138,7 @@ class Lexicon:
         if len(self.states) > 50_000:
             self.reset()
         state, stem = self.start, None
-        for c in word[:64]:
+        for c in word:
             nxt = self.moves[state].get(c)
             state = self._move(state, c) if nxt is None else nxt
             if self.stem_of[state] is not None:
@@ -148,7 +147,7 @@ class Lexicon:
                 break
         if stem is not None:
             return stem, -1
-        if word in self.clean or len(word) > 64:
+        if word in self.clean:
             return None
         best = None
         for node, edits in self.states[state].items():
@@ -257,7 +256,7 @@ def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
             label = toxic.as_py()
-            words = {w for w in _WORD.findall(text.as_py().lower()) if len(w) <= 40}
+            words = set(_WORD.findall(text.as_py().lower()))
             stems = {w[:k] for w in words for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1)}
             counts.update(("t", w, label) for w in words)
             counts.update(("s", w, label) for w in stems)
@@ -289,17 +288,18 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     spark = docs.sparkSession
     importable(spark)
     rows = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("lid")).agg(F.max("toxic").cast("int").alias("toxic"))
-    picked, counts = class_sample(rows, "lid", "toxic", per_label, 2)
-    picked = stage(picked, "toxic-ids")  # about 2 * per_label ids
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), F.col("doc_id") == F.col("lid")).select("doc_id", "text", "toxic")
-    sample = stage(sample, "toxic-sample", scan=True).repartition(spark.sparkContext.defaultParallelism)
+    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    picked = stage(class_sample(rows, "lid", "toxic", per_label), "toxic-ids")  # about 2 * per_label ids
+    sample = join_checked(docs.select("doc_id", "text").where("text IS NOT NULL"), picked, F.col("doc_id") == F.col("lid"), "inner")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one row of an id, however often it is repeated
+    sample = stage(sample, "toxic-sample").repartition(spark.sparkContext.defaultParallelism)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
 
     found = sample.select("text", "toxic").mapInArrow(_document_terms, "kind string, what string, toxic int, n bigint")
     found = found.groupBy("kind", "what").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
     lift = ((F.col("a") + 0.0) / bad) / ((F.col("b") + 0.5) / good)
-    chosen = found.where((F.col("a") >= TERM_DOCS) & (lift >= TERM_LIFT)).withColumn("weight", F.log(lift)).orderBy(F.desc(F.col("a") * F.col("weight")), "kind", "what").limit(4 * TERMS).collect()
+    chosen = found.where((F.col("a") >= TERM_DOCS) & (lift >= TERM_LIFT)).withColumn("weight", F.log(lift)).orderBy(F.desc(F.col("a") * F.col("weight")), "kind", "what").collect()
     terms, stems = {}, {}
     top = math.log(bad * 2)
     for r in sorted((r for r in chosen if r["kind"] == "s"), key=lambda r: (len(r["what"]), r["what"])):
@@ -307,11 +307,17 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
             stems[r["what"]] = r["weight"] / top
     whole = {r["what"]: (r["a"], r["weight"] / top) for r in chosen if r["kind"] == "t"}
     # A stem that one word makes up is that word.
-    for s in list(stems):
-        if sum(w.startswith(s) for w in whole) == 1 and next(r["a"] for r in chosen if r["kind"] == "s" and r["what"] == s) <= max(a for w, (a, _) in whole.items() if w.startswith(s)):
+    docs_of = {r["what"]: r["a"] for r in chosen if r["kind"] == "s"}
+    below: dict[str, list[int]] = {}
+    for w, (a, _) in whole.items():
+        for k in range(STEM[0], min(STEM[1], len(w)) + 1):
+            if w[:k] in stems:
+                below.setdefault(w[:k], []).append(a)
+    for s, docs_with in below.items():
+        if len(docs_with) == 1 and docs_of[s] <= docs_with[0]:
             del stems[s]
     # Whole words stay terms under a stem too: only terms are matched with edits.
-    for w, (_, weight) in list(whole.items())[:TERMS]:
+    for w, (_, weight) in whole.items():
         terms[w] = weight
     draft = Scorer(Lexicon(terms, stems))
 
@@ -353,8 +359,8 @@ _scorers: dict[str, Scorer] = {}
 def score(docs: DataFrame, scorer: Scorer, spans: bool = True) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, and if asked spans (start, end, term, quoted).
 
-    Whole texts are read; null counts as empty. Only the text decides. Repeated rows get equal results; other columns
-    are ignored; an empty table gives an empty result. Texts are scored one by one.
+    Whole texts, very long ones too, are read; null counts as empty. Only the text decides, so ties and repeated rows get
+    equal results; other columns are ignored; an empty table gives an empty result. Texts are scored one by one.
     """
     importable(docs.sparkSession)
     data = pickle.dumps(scorer)
