@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import pickle
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,16 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillwave.llm.common import schema_of, stage
+from rillwave.llm.common import join_checked, schema_of, stage
 from rillwave.llm.sampling import class_sample, held_out, learnable
 from rillwave.plans.workers import importable
 
-#: Labelled documents learnt from, per language at most (about), and languages at most.
+#: Labelled documents learnt from, per language (about).
 SAMPLE_PER_LANGUAGE = 3_000
-LANGUAGES = 300
-#: Character n-grams of the model at most, and counts of n-grams by language; words, and scores of words, that a
-#: worker remembers.
-FEATURES, FEATURE_COUNTS = 200_000, 2_000_000
+#: An n-gram is in the model if it makes up this share of a language's n-grams: at most 1 / SHARE of each language.
+SHARE = 1 / 100_000
+#: Letters of a piece of a word at most.
+PIECE = 24
+#: Words, and scores of words, that a worker remembers.
 REMEMBERED, REMEMBERED_SCORES = 600_000, 6_000_000
 #: Log-probability that a change of language between two words costs.
 SWITCH = 12.0
@@ -47,13 +50,34 @@ _FROM = [a for a, _ in SCRIPTS]
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def script(word: str) -> str:
-    """The script of a word's first letter."""
-    return SCRIPTS[bisect.bisect_right(_FROM, ord(word[0])) - 1][1]
+def script(piece: str) -> str:
+    """The script of a piece's letters, by the first."""
+    return SCRIPTS[bisect.bisect_right(_FROM, ord(piece[0])) - 1][1]
+
+
+@functools.cache
+def _pieces() -> re.Pattern:
+    """Runs of letters of one script, of PIECE letters at most: what each place of a text falls into."""
+    ranges: dict[str, list[str]] = {}
+    for (low, name), (high, _) in zip(SCRIPTS, [*SCRIPTS[1:], (sys.maxunicode + 1, "")], strict=True):
+        every = "".join(map(chr, range(low, high)))
+        for m in _WORDS.finditer(every):
+            ranges.setdefault(name, []).append(f"{re.escape(m[0][0])}-{re.escape(m[0][-1])}")
+    first, *rest = (f"[{''.join(r)}]{{1,{PIECE}}}" for r in ranges.values())
+    return re.compile(f"{first}|(?=[^\\W\\d_])(?:{'|'.join(rest)})")
+
+
+def pieces(text: str) -> list[str]:
+    """The words of a lower-case text, cut where the script changes and after PIECE letters; together all its letters.
+
+    A clause of a script without spaces is one word to a regular expression, and may begin with a name in another
+    script: pieces see to it that every letter is scored, under the languages of its own script.
+    """
+    return _pieces().findall(text)
 
 
 def grams(word: str) -> list[str]:
-    """Character 3-grams of a bounded word, and the word itself if it is short."""
+    """Character 3-grams of a piece, and the piece itself if it is short."""
     w = f"<{word}>"
     out = [w[i : i + 3] for i in range(len(w) - 2)]
     if len(word) <= 5:
@@ -75,7 +99,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
             mine = counts.setdefault(lang.as_py(), Counter())
-            for word, n in Counter(_WORDS.findall(_lower(text.as_py() or ""))).items():
+            for word, n in Counter(pieces(_lower(text.as_py() or ""))).items():
                 mine["s", script(word)] += n
                 for g in grams(word):
                     mine["g", g] += n
@@ -85,51 +109,69 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Naive Bayes over n-grams of a word: log-probabilities per language, and the languages of each script."""
+    """Naive Bayes over n-grams: log-probabilities per language, and the languages of each script.
+
+    counts are rows of lang, what, n. Held sparsely: what a language has of an n-gram beyond an unseen one's score.
+    """
 
-    def __init__(self, languages: list[str], table: dict[str, np.ndarray], missing: np.ndarray, scripts: dict[str, np.ndarray]):
+    def __init__(self, languages: list[str], counts: pa.Table, scripts: dict[str, np.ndarray]):
         self.languages, self.scripts = languages, scripts
-        self.row = {g: i for i, g in enumerate(table)}
-        self.matrix = np.vstack([*table.values(), missing]).astype(np.float32)
+        langs = counts.column("lang").combine_chunks().dictionary_encode()
+        whats = counts.column("what").combine_chunks().dictionary_encode()
+        at = {x: i for i, x in enumerate(languages)}
+        lang = np.array([at[x] for x in langs.dictionary.to_pylist()], dtype=np.int64)[langs.indices.to_numpy()] if len(counts) else np.zeros(0, dtype=np.int64)
+        what, n = whats.indices.to_numpy().astype(np.int64), counts.column("n").to_numpy().astype(float)
+        names = whats.dictionary.to_pylist()
+        base = np.bincount(lang, weights=n, minlength=len(languages)) + 0.5 * (len(names) + 1)
+        self.unseen = np.log(0.5 / base).astype(np.float32)
+        order = np.argsort(what, kind="stable")
+        self.lang = lang[order].astype(np.int32)
+        self.more = (np.log((n + 0.5) / base[lang]) - np.log(0.5 / base[lang])).astype(np.float32)[order]
+        self.first = np.append(0, np.cumsum(np.bincount(what, minlength=len(names)))).astype(np.int64)
+        self.row = {g: i for i, g in enumerate(names)}
 
     def word(self, word: str) -> np.ndarray:
-        """Scores of a word; languages that do not use its script are out, unless none does."""
-        row, unknown = self.row.get, len(self.matrix) - 1
-        total = self.matrix[[row(g, unknown) for g in grams(word[:64])]].sum(axis=0)
+        """Scores of a piece; languages that do not use its script are out, unless none does."""
+        found = grams(word)
+        total = self.unseen * np.float32(len(found))
+        for g in found:
+            i = self.row.get(g)
+            if i is not None:
+                a, b = self.first[i], self.first[i + 1]
+                total[self.lang[a:b]] += self.more[a:b]
         fits = self.scripts.get(script(word))
         return total if fits is None else np.where(fits, total, np.float32(-1e6))
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """A model of the languages of learnable rows (lang not null): counts over a bounded sample of about per_language
-    rows for each language. What reaches the driver is bounded by FEATURE_COUNTS counts of n-grams."""
+    """A model of all languages of learnable rows (lang not null): counts over a bounded sample of about per_language
+    rows for each. What reaches the driver are n-grams of a share of SHARE at least in some language, 1 / SHARE of
+    each at most, with their counts in the languages whose sample has them."""
     importable(docs.sparkSession)
     rows = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sample, counts = class_sample(rows, "doc_id", "lang", per_language, LANGUAGES)
+    sample = class_sample(rows, "doc_id", "lang", per_language)
     found = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, kind string, what string, n bigint")
     found = stage(found.groupBy("lang", "kind", "what").agg(F.sum("n").alias("n")), "language-counts")
-    top = found.where("kind = 'g'").groupBy("what").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "what").limit(min(FEATURES, FEATURE_COUNTS // max(1, len(counts))))
-    used = found.where("kind = 'g'").join(F.broadcast(top), "what").select("lang", "what", "n").collect()
-    languages = sorted(counts)
+    ngrams = found.where("kind = 'g'").select("lang", "what", "n")
+    sums = ngrams.groupBy(F.col("lang").alias("slang")).agg(F.sum("n").alias("all"))
+    often = stage(join_checked(ngrams, stage(sums, "language-sums"), F.col("lang") == F.col("slang"), "inner").where(F.col("n") >= F.col("all") * SHARE).select(F.col("what").alias("kept")).distinct(), "language-grams")
+    counts = join_checked(ngrams, often, F.col("what") == F.col("kept"), "left_semi").toArrow()
+    letters_of = found.where("kind = 's'").select("lang", "what", "n").collect()  # languages times scripts
+    languages = sorted({r["lang"] for r in letters_of})
     at = {lang: i for i, lang in enumerate(languages)}
-    raw: dict[str, np.ndarray] = {}
-    for lang, what, n in used:
-        raw.setdefault(what, np.zeros(len(languages)))[at[lang]] += n
-    sums = sum(raw.values(), np.zeros(len(languages)))
-    base = sums + 0.5 * (len(raw) + 1)
-    table = {g: np.log((c + 0.5) / base).astype(np.float32) for g, c in raw.items()}
     scripts: dict[str, np.ndarray] = {}
-    for r in found.where("kind = 's'").select("lang", "what", "n").collect():
+    for r in letters_of:
         scripts.setdefault(r["what"], np.zeros(len(languages)))[at[r["lang"]]] += r["n"]
     letters = sum(scripts.values(), np.full(len(languages), 1e-9))
-    return Model(languages, table, np.log(0.5 / base).astype(np.float32), {s: c / letters >= SCRIPT_SHARE for s, c in scripts.items()})
+    return Model(languages, counts, {s: c / letters >= SCRIPT_SHARE for s, c in scripts.items()})
 
 
 def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best label of each word of many sequences, all stepped at once; scores[ids] are the words' scores.
 
     Sequence k has counts[k] words from starts[k] on. Staying in a language is free, changing costs switch. The
-    longest come first, so that those still going are a prefix.
+    longest come first, so that those still going are a prefix. The way back takes two bytes a word and a bit a
+    label, in two arrays for all sequences.
     """
     labels = np.zeros(len(ids), dtype=np.int16)
     order = np.argsort(-counts, kind="stable")
@@ -140,23 +182,24 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, counts: np.
         return labels
     going = n - np.searchsorted(counts[::-1], np.arange(int(counts[0])), side="right")
     best = scores[ids[starts]]
-    back: list[tuple[np.ndarray, np.ndarray]] = []
+    came = np.zeros(len(ids), dtype=np.int16)  # the label that a change to this word comes from
+    kept = np.zeros((len(ids), (scores.shape[1] + 7) // 8), dtype=np.uint8)  # labels that stay as they were
     for t in range(1, int(counts[0])):
         a = going[t]
+        at = starts[:a] + t
         before = best[:a]
         top = before.argmax(axis=1)
-        moved = before[np.arange(a), top] - switch
-        stays = before >= moved[:, None]
-        back.append((stays, top.astype(np.int16)))
-        best[:a] = np.maximum(before, moved[:, None]) + scores[ids[starts[:a] + t]]
+        moved = (before[np.arange(a), top] - switch)[:, None]
+        came[at], kept[at] = top, np.packbits(before >= moved, axis=1)
+        best[:a] = np.maximum(before, moved) + scores[ids[at]]
     state = best.argmax(axis=1)
     for t in range(int(counts[0]) - 1, -1, -1):
         a = going[t]
-        mine = state[:a]
-        labels[starts[:a] + t] = mine
+        at, mine = starts[:a] + t, state[:a]
+        labels[at] = mine
         if t:
-            stays, top = back[t - 1]
-            state[:a] = np.where(stays[np.arange(a), mine], mine, top)
+            stays = kept[at, mine >> 3] >> (7 - (mine & 7)) & 1
+            state[:a] = np.where(stays, mine, came[at])
     return labels
 
 
@@ -198,7 +241,7 @@ class Labeller:
         if len(self.known) > min(REMEMBERED, REMEMBERED_SCORES // len(self.model.languages)):
             self.known = _Words(self.model)
         known = self.known
-        ids = [np.fromiter(map(known.__getitem__, _WORDS.findall(_lower(t))), dtype=np.int32) for t in texts]
+        ids = [np.fromiter(map(known.__getitem__, pieces(_lower(t))), dtype=np.int32) for t in texts]
         counts = np.array([len(x) for x in ids], dtype=np.int64)
         starts = np.cumsum(counts) - counts
         flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
@@ -219,7 +262,7 @@ class Labeller:
 
     def _spans(self, text: str, labels: np.ndarray) -> list[dict]:
         made: list[dict] = []
-        for m, label in zip(_WORDS.finditer(text), labels, strict=True):
+        for m, label in zip(_pieces().finditer(_lower(text)), labels, strict=True):
             lang = self.model.languages[label]
             if made and made[-1]["lang"] == lang:
                 made[-1]["end"] = m.end()
@@ -234,7 +277,8 @@ _labellers: dict[str, Labeller] = {}
 def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, and if asked spans (start, end in code points, lang).
 
-    Whole texts are labelled word by word; lang_pred has the most letters, score is their share. A null text and one
+    Whole texts, very long ones too, are labelled piece by piece (words cut at changes of script and after PIECE
+    letters); lang_pred has the most letters, of ties the first by name, score is their share. A null text and one
     without a letter are und with score 0. Only the text decides: columns lang and source are not read. Repeated
     rows get equal results; other columns are ignored; an empty table gives an empty result.
     """
