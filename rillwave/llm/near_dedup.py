@@ -1,4 +1,4 @@
-"""Near-duplicates: MinHash signatures posted coordinate by coordinate, joined through the posting lists."""
+"""Near-duplicates: MinHash signatures posted by (coordinate, value), collisions counted by prefix and skip merging."""
 
 from __future__ import annotations
 
@@ -57,14 +57,23 @@ def _sets(k: int):
     return run
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
-    """Of pairs(a, b), those whose signatures agree often enough, with the sizes of their sets."""
+def _colliding(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
+    """Of pairs(a, b) that merging the prefix lists gave, those that collide in enough lists in all, with the sizes of their sets.
+
+    The lists outside the prefixes are skipped while merging; whether a pair meets in them too is looked up in its signatures.
+    """
     sa = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
     sb = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
     return stage(pairs.join(sa, "a").join(sb, "b").where(agree >= matches).select("a", "b", "na", "nb"), "near-likely")
 
 
+def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """pairs(a, b) with the sizes of their sets."""
+    a, b = (sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
+    return stage(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb"), "near-likely")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
 
@@ -118,14 +127,18 @@ def _labelled(lists: DataFrame, edges: DataFrame) -> DataFrame:
     return stage(placed.join(several.hint("merge"), "value").drop("low", "high"), "near-placed")
 
 
-def _rarest_members(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Postings of the nodes in placed under their rarest shingles: value, node, n, far, rank.
+def _partners(placed: DataFrame) -> DataFrame:
+    """node, n, least: the nodes in placed with the size of their set and the smallest size that a partner's may have."""
+    return placed.groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least"))
+
+
+def _rarest_members(partners: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Postings of the nodes in partners under their rarest shingles: value, node, n, far, rank.
 
     Two sets of sizes n and m are similar enough only with percent / (100 + percent) of n + m in common. A node whose
     partners have at least m members thus shares one of its rarest n - common + 1 with each of them. far is lower the
     more common a node's shingles are.
     """
-    partners = placed.groupBy("node").agg(F.first("n").alias("n"), F.min("least").alias("least"))
     least = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     common = F.ceil((F.col("n") + least) * percent / (100 + percent) - F.lit(1e-9))
     partners = partners.select(F.col("node").alias("pnode"), "n", (F.col("n") - common + 1).alias("prefix"))
@@ -200,26 +213,31 @@ def _in_cells(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES
+    docs: DataFrame, shingle: int = 5, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, exact: bool = False
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when their sets of word shingles (A-Z lowered) have percent of their union in common;
-    component_id is the smallest doc_id reachable. Null, empty and blank texts have no shingles and no links.
-    Repeated rows fall into one component; two texts under one doc_id count as one document. A row without
-    doc_id stays unlinked. Other columns are ignored; an empty table gives an empty result.
-
-    Equal sets are first made one node (128-bit fingerprint). Each node is posted under each signature value; a
-    value that one node has is dropped, as are nodes with fewer values left than must match. Of the rest a node
-    needs posting only under its rarest (left - matches + 1): a pair that agrees on enough coordinates meets in
-    one of these lists. In each turn a list compares its members with one pivot and forgets it: with every member
+    component_id is the smallest doc_id reachable. Null, empty and blank texts have no shingles and no links; very long
+    ones are read whole. Repeated rows fall into one component; two texts under one doc_id count as one document. A row
+    without doc_id stays unlinked. Of ties the smallest doc_id is kept. Other columns are ignored; an empty table gives an empty result.
+
+    Equal sets are first made one node (128-bit fingerprint). Each node is posted under each (coordinate, value) of its
+    signature; a list that has one node is dropped, as are nodes with fewer lists left than must match. Of the rest a
+    node needs merging only under its rarest (left - matches + 1), its prefix: a pair that collides in enough lists
+    meets in one of these; its collisions in the lists that were skipped are then counted. In each turn a list compares
+    its members with one pivot and forgets it: with every member
     of another component the pivot has then been compared, so a list of m copies costs m comparisons and not
-    m * m / 2. Lists within one component are skipped. What is open after the first turn, such as large groups of
+    m * m / 2. Lists within one component are left out. What is open after the first turn, such as large groups of
     copies of copies that are less similar to each other, is posted anew under the rarest shingles of the full sets,
     with the node of the most common shingles as pivot. After the last turn the members of a list that are still in
     different components are paired by a join in short lists; in long ones each member outside the pivot's component
-    is compared with its whole list, in cells of bounded size. So nothing is cut off. Pairs are confirmed on the
-    signatures (but for cells) and on the full sets.
+    is compared with its whole list, in cells of bounded size. So nothing is cut off. All pairs are confirmed on the
+    full sets; from the second turn on, by these alone, in short lists as in long ones.
+
+    A linked pair is missed only if it collides in fewer than matches lists. exact=True rules that out: after the first
+    turn all nodes, and not just those that collide with another component, are posted under their rarest shingles, at
+    the cost of a shuffle of all shingles.
     """
     importable(docs.sparkSession)
     sketch = stage(
@@ -227,7 +245,6 @@ def near_duplicates(
             _sketched(shingle, coordinates), schema_of(docs, ["doc_id"], "n_shingles bigint, fp binary, sig array<bigint>")
         ),
         "near-sketch",
-        scan=True,
     )
     classes = stage(
         sketch.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
@@ -247,22 +264,27 @@ def near_duplicates(
     lists = stage(ranked.where((F.col("left") >= matches) & (F.col("rank") <= F.col("left") - matches + 1)).select("value", "node", "n"), "near-lists")
     nodes = stage(lists.select("node").distinct(), "near-nodes")
     sigs = stage(_only(classes.select("node", "n", "sig"), nodes), "near-signatures")
+    sizes = stage(classes.select("node", "n"), "near-sizes")
     names = stage(classes.select("fp", "node"), "near-names")
     unstage(classes, live)
 
     def sets_of(some: DataFrame) -> DataFrame:
         texts = join_checked(docs.select("doc_id", "text"), some, F.col("doc_id") == F.col("node"), "left_semi", limit=1_000_000)
-        return stage(texts.mapInArrow(_sets(shingle), "node bigint, members array<bigint>"), "near-sets", scan=True)
+        return stage(texts.mapInArrow(_sets(shingle), "node bigint, members array<bigint>"), "near-sets")
 
     edges = stage(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"), "near-edges")
     placed = lists.select("value", "node", "n", F.col("node").alias("comp"), F.lit(0.0).alias("far"), F.lit(0).alias("rank"))
     for turn in range(PIVOT_TURNS + 1):
-        if turn:
+        if turn and not (turn == 1 and exact):
             placed = _labelled(lists, edges)
         if turn == 1:
-            nodes = _reaching(placed, sigs, matches)
-            sets, sigs = sets_of(nodes), stage(_only(sigs, nodes), "near-signatures")
-            lists = stage(_rarest_members(_only(placed, nodes), sets, percent), "near-lists")
+            if exact:
+                nodes, partners = sizes.select("node"), sizes.withColumn("least", F.lit(1))
+            else:
+                nodes = _reaching(placed, sigs, matches)
+                partners = _partners(_only(placed, nodes))
+            sets = sets_of(nodes)
+            lists = stage(_rarest_members(partners, sets, percent), "near-lists")
             placed = _labelled(lists, edges)
         pivots = (
             placed.groupBy("value")
@@ -273,12 +295,14 @@ def near_duplicates(
         pivots = stage(pivots, "near-pivots")
         open_lists = stage(placed.join(pivots.hint("merge"), "value"), "near-open")
         if open_lists.isEmpty():
+            if exact and not turn:
+                continue
             break
         if turn < PIVOT_TURNS:
             fit = _meet(F.col("n"), F.col("rank"), F.col("pn"), F.col("prank"), percent)
             pairs = open_lists.where((F.col("comp") != F.col("pcomp")) & fit).select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b"))
             lists = open_lists.where("node <> pnode").select("value", "node", "n", "far", "rank")
-            likely = _likely(pairs.distinct(), sigs, matches)
+            likely = _sized(pairs.distinct(), sizes) if turn else _colliding(pairs.distinct(), sigs, matches)
             new = sets if turn else sets_of(_ends(likely))
             edges = edges.unionByName(_verified(likely, new, percent))
             unstage(likely, *([] if turn else [new]))
@@ -288,7 +312,7 @@ def near_duplicates(
             two = small.select("value", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("c2"), F.col("rank").alias("r2"))
             fit = _meet(F.col("n1"), F.col("r1"), F.col("n2"), F.col("r2"), percent)
             pairs = one.join(two, "value").where((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & fit).select("a", "b")
-            new = _verified(_likely(pairs.distinct(), sigs, matches), sets, percent)
+            new = _verified(_sized(pairs.distinct(), sizes), sets, percent)
             large = stage(_in_cells(open_lists.where(F.col("m") > CELL), sets, percent), "near-edges")
             edges = edges.unionByName(new).unionByName(large)
     found = components(edges).withColumnRenamed("node", "fnode")

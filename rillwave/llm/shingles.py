@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 
+#: Words whose hashes a worker remembers.
+REMEMBERED = 300_000
+#: Bytes of a text that are split into words at once (about).
+SLICE = 4_000_000
+
 _U = np.uint64
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,40 +23,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))[_LOWER]
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
+class _Hashes(dict):
+    """64-bit digests of words; those of recent short words are remembered."""
 
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = h
+        return h
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(1 << 14, 1 << (n - 1).bit_length())
-        tables = []
-        for base in (_BASE, _INVERSE):
-            t = np.full(size, base, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        if size > 1 << 21:  # kept for usual texts only
-            return tuple(tables)
-        _powers = tuple(tables)
-    return _powers
+
+_hashes = _Hashes()
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word [^\\x20\\x09-\\x0D]+ of UTF-8 text, A-Z lowered, in order."""
-    b = np.frombuffer(data, dtype=np.uint8)
-    if not len(b):
-        return np.zeros(0, dtype=np.uint64)
-    inside = np.zeros(len(b) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[b]
-    turns = np.flatnonzero(np.diff(inside))
-    starts, ends = turns[::2], turns[1::2]
-    up, down = _power_tables(len(b) + 1)
-    total = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[b] * up[: len(b)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """A 64-bit hash of each word [^\\x20\\x09-\\x0D]+ of UTF-8 text, A-Z lowered, in order.
+
+    lower() and split() of bytes know ASCII only: they take A-Z and just these six characters of white space.
+    """
+    parts = []
+    for part in _slices(data):
+        words = part.lower().split()
+        parts.append(np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _slices(data: bytes) -> list[bytes]:
+    """The text cut at white space into parts of about SLICE bytes (one word stays whole), so that few words are held at once."""
+    if len(data) <= SLICE:
+        return [data]
+    cuts = [0]
+    while len(data) - cuts[-1] > SLICE and (m := _SPACE.search(data, cuts[-1] + SLICE)):
+        cuts.append(m.start())
+    return [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
 
 
 def shingle_set(data: bytes, k: int) -> np.ndarray:
@@ -67,22 +73,23 @@ def shingle_set(data: bytes, k: int) -> np.ndarray:
 
 
 class MinHash:
-    """Signatures of n coordinates: the least value of (x ^ r) * a over a set, each coordinate with its own r and a."""
+    """Signatures of n coordinates: the least value of (x ^ r) * a over a set, each coordinate with its own r and a.
+
+    The last bits of an entry are the number of its coordinate, so that an entry by itself is a pair of coordinate and value.
+    """
 
     def __init__(self, n: int, seed: int = 7):
         stream = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed))
         self.r, self.a = stream[:n, None], stream[n:, None] | _U(1)
+        self.places, self.mask = np.arange(n, dtype=np.uint64), _U((1 << (n - 1).bit_length()) - 1)
 
     def signature(self, values: np.ndarray) -> np.ndarray:
         best = np.full(len(self.r), ~_U(0), dtype=np.uint64)
         for at in range(0, len(values), 4096):
             best = np.minimum(best, ((values[None, at : at + 4096] ^ self.r) * self.a).min(axis=1))
-        return best
+        return (best & ~self.mask) | self.places
 
 
 def fingerprint(values: np.ndarray) -> bytes:
-    """128 bits of a set: two sums of differently mixed members."""
-    with np.errstate(over="ignore"):
-        one = np.add.reduce(mix(values + _U(0x632BE59BD9B4E019)))
-        two = np.add.reduce(mix(values ^ _U(0x9FB21C651E98DF25)))
-    return np.array([one, two], dtype=np.uint64).tobytes()
+    """128 bits of a set, given as its sorted members."""
+    return hashlib.blake2b(np.ascontiguousarray(values).tobytes(), digest_size=16).digest()
