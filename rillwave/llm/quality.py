@@ -12,9 +12,9 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 #: A group with fewer documents in its sketch takes the merged sketch of its language, and that of all below as many.
 MIN_DOCS = 30
-#: A measure may lie beyond its quartiles by so many spreads; texts under SHORT words get twice that.
+#: A measure may lie beyond its quartiles by SPREADS * (1 + SHORT / n_words) spreads: shares of few words vary more.
 SPREADS = 4
-SHORT = 100
+SHORT = 50
 #: Thousandths up to which each value is a bin of its own; from there on bins grow: they keep BITS leading bits of a value.
 TOP = 100_000
 BITS = 17
@@ -158,23 +158,23 @@ def quality(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept, and the columns lang and source.
 
     A document is kept if it passes the base rules and each of its measures (mean word length, symbols per word,
-    share of repeated lines, share of words in repeated windows) lies within SPREADS spreads of the quartiles of
-    its language and source. The spread is the distance of the quartiles, a stated minimum at least. Null lang and
-    source are groups of their own; null text counts as empty, so it has no words and fails. Repeated rows are
-    judged alike; other columns are ignored; an empty table gives an empty result. A group without any sketch
+    share of repeated lines, share of words in repeated windows) lies within SPREADS * (1 + SHORT / n_words) spreads of the
+    quartiles of its language and source. The spread is the distance of the quartiles, a stated minimum at least. Null lang and
+    source are groups of their own; null text counts as empty, so it has no words and fails. Ties and repeated
+    rows are judged alike; very long texts are counted whole; other columns are ignored; an empty table gives an empty result. A group without any sketch
     consists of failed documents only. The counts are staged once for both uses, and carry no text.
     """
-    rows = stage(measured(counted(docs)), "quality-counts", scan=True)
+    rows = stage(measured(counted(docs)), "quality-counts")
     limits = limits_of(rows)
     same = rows["lang"].eqNullSafe(limits["t_lang"]) & rows["source"].eqNullSafe(limits["t_source"])
     joined = join_checked(rows, limits, same, "left")
-    slack = F.when(F.col("n_words") < SHORT, F.lit(2 * SPREADS)).otherwise(F.lit(SPREADS))
+    slack = SPREADS * (F.col("n_words") + SHORT)  # both sides times n_words: whole numbers
     passes = ~F.col("base_failed")
     for name, least, two_sided in MEASURES:
         spread = slack * F.greatest(F.col(f"{name}_q3") - F.col(f"{name}_q1"), F.lit(least))
-        passes = passes & (F.col(name) <= F.col(f"{name}_q3") + spread)
+        passes = passes & (F.col("n_words") * (F.col(name) - F.col(f"{name}_q3")) <= spread)
         if two_sided:
-            passes = passes & (F.col(name) >= F.col(f"{name}_q1") - spread)
+            passes = passes & (F.col("n_words") * (F.col(f"{name}_q1") - F.col(name)) <= spread)
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(passes, F.lit(False)).alias("kept"), "lang", "source"
     )
@@ -199,10 +199,10 @@ c AS (
   FROM d LEFT JOIN rep USING (doc_id) JOIN ln USING (doc_id)),
 m AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-         CASE WHEN n_words > 0 THEN least(1000 * word_chars // n_words, 100000) ELSE 0 END AS word_len,
-         CASE WHEN n_words > 0 THEN least(1000 * n_symbols // n_words, 100000) ELSE 0 END AS symbols,
-         CASE WHEN n_lines > 0 THEN least(1000 * n_dup_lines // n_lines, 100000) ELSE 0 END AS dup_lines,
-         CASE WHEN n_words > 0 THEN least(1000 * n_repeat_words // n_words, 100000) ELSE 0 END AS repeats FROM c),
+         CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_len,
+         CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbols,
+         CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines,
+         CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats FROM c),
 g AS (SELECT * FROM m WHERE NOT base_failed),
 q AS (
   SELECT lang, source, grouping(lang, source) AS lv, count(*) AS docs,
@@ -213,12 +213,12 @@ j AS (
   SELECT m.*, unnest(CASE WHEN o.docs >= 30 THEN {'a1':o.a1,'a3':o.a3,'b1':o.b1,'b3':o.b3,'c1':o.c1,'c3':o.c3,'d1':o.d1,'d3':o.d3}
                    WHEN l.docs >= 30 THEN {'a1':l.a1,'a3':l.a3,'b1':l.b1,'b3':l.b3,'c1':l.c1,'c3':l.c3,'d1':l.d1,'d3':l.d3}
                    ELSE {'a1':e.a1,'a3':e.a3,'b1':e.b1,'b3':e.b3,'c1':e.c1,'c3':e.c3,'d1':e.d1,'d3':e.d3} END),
-         CASE WHEN n_words < 100 THEN 8 ELSE 4 END AS slack
+         4 * (n_words + 50) AS slack
   FROM m LEFT JOIN q o ON o.lv = 0 AND o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source
          LEFT JOIN q l ON l.lv = 1 AND l.lang IS NOT DISTINCT FROM m.lang LEFT JOIN q e ON e.lv = 3)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(NOT base_failed AND word_len BETWEEN a1 - slack * greatest(a3 - a1, 300) AND a3 + slack * greatest(a3 - a1, 300)
-         AND symbols <= b3 + slack * greatest(b3 - b1, 50) AND dup_lines <= c3 + slack * greatest(c3 - c1, 125)
-         AND repeats <= d3 + slack * greatest(d3 - d1, 60), false) AS kept, lang, source
+       coalesce(NOT base_failed AND greatest(a1 - word_len, word_len - a3) * n_words <= slack * greatest(a3 - a1, 300)
+         AND (symbols - b3) * n_words <= slack * greatest(b3 - b1, 50) AND (dup_lines - c3) * n_words <= slack * greatest(c3 - c1, 125)
+         AND (repeats - d3) * n_words <= slack * greatest(d3 - d1, 60), false) AS kept, lang, source
 FROM j
 """
