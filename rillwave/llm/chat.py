@@ -20,6 +20,11 @@ BEGIN, MIDDLE, END = "<s>", "[INST]", "</s>"
 #: Control strings of usual templates: none of them can stand in a formatted text but where the template put it.
 CONTROLS = (BEGIN, END, MIDDLE, "[/INST]", "<<SYS>>", "<</SYS>>")
 TRAINED = "assistant"
+#: Bytes of conversations that are assembled into one buffer (about; a larger conversation has one of its own), and
+#: bytes that are scattered by one index array.
+SLICE_BYTES, SCATTER_BYTES = 64_000_000, 4_000_000
+#: What a value of Arrow's and Spark's strings can hold.
+MOST_BYTES = 2**31 - 1
 _TURN = re.compile(re.escape(BEGIN) + "(.*?)" + re.escape(MIDDLE) + "(.*?)" + re.escape(END), re.DOTALL)
 _ESCAPE = re.compile(r"\\(\\?)")
 
@@ -45,6 +50,17 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(places).astype(np.int64), whole[places[0] : places[-1]]
 
 
+def _scatter(out: np.ndarray, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> None:
+    """Copies back-to-back segments to their places; indices are made for SCATTER_BYTES at a time, within segments too."""
+    ends = np.cumsum(lengths)
+    shift = starts - (ends - lengths)
+    for at in range(0, len(data), SCATTER_BYTES):
+        to = min(at + SCATTER_BYTES, len(data))
+        a, b = np.searchsorted(ends, at, side="right"), np.searchsorted(ends, to, side="left") + 1
+        counts = np.minimum(ends[a:b], to) - np.maximum(ends[a:b] - lengths[a:b], at)
+        out[np.arange(at, to) + np.repeat(shift[a:b], counts)] = data[at:to]
+
+
 def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Conversations from turns in order; first: the place of the first turn of each.
 
@@ -62,13 +78,13 @@ def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray) -> tuple[pa.Ar
     ends = np.cumsum(sizes.ravel()).reshape(n, 5)
     starts = ends - sizes
     total = int(ends[-1, -1]) if n else 0
+    if total > MOST_BYTES:
+        raise ValueError(f"a conversation of {total} bytes does not fit into a string")
     out = np.empty(total, dtype=np.uint8)
     for k in range(3):
         out[starts[:, 2 * k, None] + np.arange(len(fixed[k]))] = fixed[k]
     for k in range(2):
-        lengths, data = contents[k]
-        before = np.cumsum(lengths) - lengths
-        out[np.arange(len(data)) + np.repeat(starts[:, 2 * k + 1] - before, lengths)] = data
+        _scatter(out, starts[:, 2 * k + 1], *contents[k])
     opened = np.append(starts[first, 0], total)
     formatted = pa.StringArray.from_buffers(len(first), pa.py_buffer(opened.astype(np.int32)), pa.py_buffer(out))
     of = np.searchsorted(first, np.flatnonzero(trained), side="right") - 1
@@ -87,21 +103,32 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = np.diff(np.append(first, rows.num_rows))
         return pa.RecordBatch.from_arrays([rows.column("conv_id").take(pa.array(first)), pa.array(turns, pa.int64()), formatted, spans], ["conv_id", "n_turns", "formatted", "loss"])
 
+    def cut(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The rows in slices of whole conversations, of about SLICE_BYTES."""
+        first = np.append(_first(rows.column("conv_id")), rows.num_rows)
+        sizes = sum(pc.fill_null(pc.binary_length(rows.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("role", "text"))
+        upto = np.append(0, np.cumsum(sizes))[first]
+        at = 0
+        while at < len(first) - 1:
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + SLICE_BYTES, side="right")) - 1)
+            yield made(rows.slice(first[at], first[to] - first[at]))
+            at = to
+
     for batch in batches:
         if not batch.num_rows:
             continue
         first = _first(batch.column("conv_id"))
         follows = held and held[0].column("conv_id")[0].as_py() == batch.column("conv_id")[0].as_py()
         if held and not follows:
-            yield made(pa.concat_batches(held))
+            yield from cut(pa.concat_batches(held))
             held = []
         last = int(first[-1])
         if last:
-            yield made(pa.concat_batches([*held, batch.slice(0, last)]))
+            yield from cut(pa.concat_batches([*held, batch.slice(0, last)]))
             held = []
         held.append(batch.slice(last))
     if held:
-        yield made(pa.concat_batches(held))
+        yield from cut(pa.concat_batches(held))
 
 
 def _first(ids: pa.Array) -> np.ndarray:
@@ -117,7 +144,8 @@ def format_chat(conversations: DataFrame) -> DataFrame:
     Turns stand in order of turn, ties in order of role and text, null first; repeated rows are turns of their own.
     Null role and text count as empty, null conv_id as one conversation. Other columns are ignored; an empty table
     gives an empty result. The turns of a conversation meet sorted in one task, which holds the conversation it is
-    at (a row of the result) and one batch.
+    at (a row of the result) and one batch, and assembles SLICE_BYTES at once. Very long texts and conversations are
+    formatted whole; a conversation beyond MOST_BYTES, which no string holds, is an error.
     """
     importable(conversations.sparkSession)
     rows = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,6 +100,7 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks in order. section counts the article or main element around a block, 0 for none."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag, not text, not the article, section
+    open_tags: Counter[str] = Counter()  # of the stack: an end tag that nothing opened is passed over without a walk
     parts: list[str] = []
     linked, in_link, sections, tag_of, at = 0, 0, 0, "", 0
 
@@ -136,14 +138,16 @@ def blocks(page: str) -> list[Block]:
                 in_link = 0 if ending else 1
             if tag in CONTAINERS or tag in RAW:
                 if ending:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
+                    while open_tags[tag]:
+                        left = stack.pop()[0]
+                        open_tags[left] -= 1
+                        if left == tag:
                             break
                 elif not m[3].endswith("/"):
                     hidden, outside, section = state()
                     if tag == "body":
                         stack.clear()
+                        open_tags.clear()
                         hidden, outside, section = False, False, 0
                     if tag in ("article", "main") or tag in ("div", "section") and not outside and not _marked(m[3]) and _main(m[3]):
                         sections += 1
@@ -151,6 +155,7 @@ def blocks(page: str) -> list[Block]:
                     marked = tag != "body" and (tag == "header" and not section or _marked(m[3]))
                     hidden = hidden or tag in SKIPPED or tag in RAW
                     stack.append((tag, hidden, outside or marked, section))
+                    open_tags[tag] += 1
                     if tag in RAW:
                         end = re.compile(rf"</{tag}\b", re.IGNORECASE).search(page, at)
                         at = end.start() if end else len(page)
@@ -217,9 +222,10 @@ def main_text(page: str | None) -> tuple[str, int]:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, n_blocks.
 
-    The whole html is read; null counts as empty, and a page without any article text has an empty text. Null
-    page_id and url pass through, repeated rows are extracted alike, other columns are ignored. Each page is
-    treated by itself, in slices of a batch, so memory holds one slice.
+    The whole html is read, of very long pages too, in time in proportion to its length; null counts as empty, and a
+    page without any article text has an empty text. Null page_id and url pass through, ties and repeated rows are
+    extracted alike, other columns are ignored, an empty table gives an empty result. Each page is treated by itself, in
+    slices of a batch, so memory holds one slice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
