@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -15,6 +16,20 @@ def plans_without_python(df):
     return "Python" not in (plan := df._jdf.queryExecution().toString()) and "Arrow" not in plan
 
 
+@pytest.fixture(autouse=True)
+def staged_without_python(monkeypatch):
+    """All tables that the operators of this file write on their way are made without Python, too."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    write = DataFrameWriter.parquet
+
+    def watched(self, path, *args, **kwargs):
+        assert plans_without_python(self._df)
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+
+
 def by_id(rows):
     out = {}
     for r in rows:
@@ -197,3 +212,96 @@ def test_pii_finds_known_identifiers_without_a_word_before(spark):
     got = {r["doc_id"]: r["found"] for r in pii.personal_data(spark.createDataFrame(rows + list(texts.items()), "doc_id long, text string")).collect()}
     found = {i: [texts[i][f["s"] : f["e"]] for f in got[i]] for i in texts}
     assert found == {102: ["jim[at]host.org"], 103: ["jim[at]host.org", "ann[at]host.org"], 104: []}
+
+
+def test_pii_spans_take_time_in_proportion(spark):
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "+1 (017) 555-7713 a@b.org 1.2.3.4 x " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert pii.spans(docs).selectExpr("size(email) AS n").first()["n"] == n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(24_000) < 6 * seconds(6_000) + 3  # 16 times, if it were quadratic
+
+
+def test_pii_takes_very_long_runs(spark):
+    texts = ["9" * 200_000, "1.a:" * 50_000, "9 " * 100_000, "a@" * 50_000, "1." * 100_000]
+    rows = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == 5
+
+
+def test_pii_contexts_are_whole_words(spark):
+    texts = ["w" * 80 + " a@b.org", "z y" + " " * 70 + "a@b.org", "a@b.org c@d.org", "One\tTWO\n a@b.org", "no_space:a@b.org"]
+    got = [[(x["word"], x["two"]) for x in r["email"]] for r in pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [[("w" * 80, "")], [("y", "z y")], [("", ""), ("", "")], [("two", "one two")], [("", "")]]
+
+
+def test_pii_two_words_are_a_pattern(spark):
+    rows = [(i, f"Please write to mail box user{i}@host.example.org today, a box of paper and a box of pens") for i in range(30)]
+    rows += [(100, "mail box jim[at]host.org"), (101, "a box x7[at]y7 of things")]
+    got = {r["doc_id"]: [(f["kind"], f["s"], f["e"]) for f in r["found"]] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == [("email", 9, 24)] and got[101] == []
+
+
+def discovered(rows):
+    """A plain second reading of the discovery: sets and dictionaries, all texts at once."""
+    seeds, shaped, texts = [], [], []
+    for i, text in rows:
+        base = base_spans(text)
+        texts.append(re.findall(r"\S+", text.lower()))
+        for kind, s, e in base:
+            before = [m for m in (re.finditer(PATTERNS[kind], text)) if m.end() <= s]
+            seeds.append((kind, *around(text[before[-1].end() if before else 0 : s]), text[s:e].lower()))
+        ends = 0
+        for m in re.finditer(pii.CANDIDATE, text):
+            gap, ends = text[ends : m.start()], m.end()
+            if not any(s < m.end() and m.start() < e for _, s, e in base):
+                value = re.sub(r"[.,;:!?)\]}\"'*#$%&]+$", "", m[0])
+                shaped += [(i, m.start(), m.start() + len(value), kind, *around(gap), value.lower()) for kind in pii.KINDS if re.search(pii.SHAPES[kind], value.lower())]
+    known = {(k, v) for k, _, _, v in seeds}
+    of = {}
+    for k, word, two, v in seeds:
+        for n, p in ((1, word), (2, two)):
+            if p:
+                of.setdefault((k, p, n), []).append(v)
+    of = {key: vs for key, vs in of.items() if len(set(vs)) >= pii.SUPPORT}
+    for _, _, _, k, word, two, v in shaped:
+        for n, p in ((1, word), (2, two)):
+            if (k, p, n) in of:
+                of[k, p, n].append(v)
+    total = {}
+    for ws in texts:
+        for p in ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]:
+            total[p] = total.get(p, 0) + 1
+    conf = {(k, v): float((k, v) in known) for (k, _, _), vs in of.items() for v in vs}
+    for _ in range(pii.TURNS):
+        score = {key: min(0.999, sum(conf[key[0], v] for v in vs) / total[key[1]]) for key, vs in of.items()}
+        for k, v in conf:
+            if (k, v) not in known:
+                miss = {1: 1.0, 2: 1.0}
+                for (kind, p, n), vs in of.items():
+                    if kind == k and v in vs:
+                        miss[n] *= 1 - score[kind, p, n]
+                conf[k, v] = 1 - min(miss.values())
+    sure = {x for x, c in conf.items() if c >= pii.CONFIDENCE and x not in known}
+    return {(i, k, s, e) for i, s, e, k, _, _, v in shaped if (k, v) in sure}
+
+
+def around(gap):
+    if not re.search(r"\s$", gap):
+        return "", ""
+    words = gap.lower().split()
+    return words[-1] if words else "", " ".join(words[-2:]) if len(words) > 1 else ""
+
+
+def test_pii_discovery_matches_a_second_reading(spark):
+    rng = random.Random(12)
+    usual = [("mail", "u{}@h.org"), ("write to", "u{}@h.org"), ("ring me", "+1 555 000 {:04d}"), ("server", "10.0.0.{}")]
+    other = [("mail", "u{}[at]h.org"), ("ring me", "(0555) 000 {:04d}"), ("server", "fe80::{}:1"), ("the", "u{}[at]h.org"), ("a box", "{} items"), ("the me", "plain")]
+    part = lambda: rng.choice(usual if rng.random() < 0.85 else other)
+    rows = [(i, " ".join(f"{context} {made.format(rng.randrange(60))}, so" for context, made in [part() for _ in range(rng.randint(1, 5))])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], f["kind"], f["s"], f["e"]) for r in pii.personal_data(docs).collect() for f in r["found"]}
+    want = discovered(rows)
+    assert len(want) > 20 and got == want

@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from rillwave.llm import near_dedup
+from rillwave.llm import shingles as shingles_module
 from rillwave.llm.components import components
 from rillwave.llm.shingles import shingle_set
 
@@ -48,8 +50,9 @@ def corpus(seed, groups, copies, edits):
     return rows
 
 
-def check(spark, rows, k):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=k).collect()}
+def check(spark, rows, k, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, shingle=k, **options).collect()}
     want = brute_force(rows, k)
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
@@ -73,6 +76,27 @@ def test_large_groups_go_through_cells(spark, monkeypatch):
     check(spark, rows, 2)
 
 
+def pairs_at_the_threshold(n):
+    """Pairs of texts whose sets of two-word shingles have exactly 80 of 100 members in common."""
+    rng, rows = random.Random(11), []
+    for i in range(n):
+        common = [f"p{i}w{k}" for k in range(81)]  # 80 shingles in common, 10 more on either side
+        rows += [(2 * i, " ".join(common + [f"p{i}a{k}" for k in range(10)])), (2 * i + 1, " ".join(common + [f"p{i}b{k}" for k in range(10)]))]
+    one, two = (shingles(t, 2) for _, t in rows[:2])
+    assert (len(one & two), len(one | two)) == (80, 100)
+    rng.shuffle(rows)
+    return rows
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    check(spark, pairs_at_the_threshold(300), 2)
+
+
+def test_exact_mode_does_not_depend_on_signatures(spark):
+    check(spark, pairs_at_the_threshold(40) + [(1000 + i, t) for i, t in corpus(5, 15, 6, 0.06)], 2, coordinates=8, matches=8, exact=True)
+    check(spark, [(1, "only one text of some words")], 2, exact=True)
+
+
 def test_edges(edge_docs, no_docs):
     got = {}
     for r in near_dedup.near_duplicates(edge_docs).collect():
@@ -90,6 +114,22 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in [*range(100, 180), 200]} == {100} and got[401] == 400 and 300 not in got
 
 
+@pytest.mark.parametrize("order", ["up", "down", "shuffled"])
+def test_long_chains_take_few_turns(spark, order):
+    ids = list(range(1000))
+    {"up": lambda: None, "down": ids.reverse, "shuffled": lambda: random.Random(2).shuffle(ids)}[order]()
+    turns = []
+    got = components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long"), turns).collect()
+    assert len(turns) <= 12 and len(got) == 1000 and {r["comp"] for r in got} == {0}
+
+
+def test_long_texts_hash_alike_in_slices(monkeypatch):
+    text = ("one TWO\tthree " * 50 + "x" * 300 + " four").encode()
+    whole = shingle_set(text, 3)
+    monkeypatch.setattr(shingles_module, "SLICE", 7)
+    assert np.array_equal(whole, shingle_set(text, 3))
+
+
 def test_shingle_hashes_agree_with_words():
     for text in ["", " ", "One two\tTWO  one two three", "ÄB äb Äb", "a b a b a b"]:
         assert len(shingle_set(text.encode(), 2)) == len(shingles(text, 2))

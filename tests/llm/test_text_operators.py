@@ -1,6 +1,9 @@
 import base64
 import hashlib
+import math
 import random
+import re
+import time
 import zlib
 
 import pyarrow as pa
@@ -107,6 +110,15 @@ def test_html_main_text():
     assert html_text.main_text(plain)[0].endswith("\nok")
 
 
+def test_html_end_tags_take_time_in_proportion():
+    def seconds(n):
+        began = time.perf_counter()
+        html_text.main_text("<div>" * n + "</td>" * n)
+        return time.perf_counter() - began
+
+    assert seconds(40_000) < 8 * seconds(10_000) + 0.2  # 16 times, if it were quadratic
+
+
 def test_html_edges(spark):
     pages = [(1, None, None), (2, "u", ""), (None, "u", "<p>x"), (4, "u", "<" * 5000), (5, "u", '<p class="' * 500), (6, "u", "<article><p>a&amp;b &#8364; &am <b"), (6, "u", "<article><p>a&amp;b &#8364; &am <b"), (7, "u", "<article>" + "<p>the word of it</p>" * 20_000)]
     df = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(1)))
@@ -145,6 +157,20 @@ def test_chat_conversations_cross_batches():
         assert out[1]["formatted"] == "<s>user[INST]c</s><s>assistant[INST]d</s><s>user[INST]e</s>"
 
 
+def test_chat_slices_change_nothing(monkeypatch):
+    rng = random.Random(13)
+    rows = [(i // 3, i, rng.choice(["user", "assistant", None]), rng.choice([None, "", "é" * 40, "a <s> b" * rng.randint(1, 9)])) for i in range(90)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(["conv_id", "turn", "role", "text"], r, strict=True)) for r in rows])
+    whole = pa.Table.from_batches(list(chat._format(iter([batch])))).to_pylist()
+    monkeypatch.setattr(chat, "SLICE_BYTES", 90)
+    monkeypatch.setattr(chat, "SCATTER_BYTES", 7)
+    parts = list(chat._format(iter([batch])))
+    assert len(parts) > 8 and pa.Table.from_batches(parts).to_pylist() == whole
+    monkeypatch.setattr(chat, "MOST_BYTES", 50)
+    with pytest.raises(ValueError, match="does not fit"):
+        list(chat._format(iter([batch])))
+
+
 def test_viterbi_matches_brute_force():
     import itertools
 
@@ -182,6 +208,61 @@ def test_language_held_out_accuracy(language_docs, edge_docs, no_docs):
     assert {r["lang_pred"] for r in language.identify(edge_docs, language.train(no_docs)).collect()} == {"und"}
 
 
+def ids_to_learn(n):
+    return [i for i in range(4 * n) if zlib.crc32(str(i).encode()) % 3 != 1][:n]
+
+
+def test_language_reads_all_letters_of_a_word(spark):
+    rng = random.Random(14)
+    zh, ja, en = (lambda: "".join(rng.choice("的是不我一有在人这中大来上国") for _ in range(40))), (lambda: "".join(rng.choice("のはをにがとでもたし日本人中大") for _ in range(40))), (lambda: " ".join(rng.choice(["the", "house", "river", "xxxx"]) for _ in range(20)))
+    de = lambda: " ".join(rng.choice(["yyyy", "haus", "fluss"]) for _ in range(20))
+    rows = [(i, (zh, ja, en, de)[k % 4](), ("zh", "ja", "en", "de")[k % 4]) for k, i in enumerate(ids_to_learn(400))]
+    labeller = language.Labeller(language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    late = labeller.label(["x" * 64 + "y" * 5000, "river" + zh(), "house" + ja(), zh() * 3 + "のはをにがとでもたし" * 40], spans=True)
+    assert [x[0] for x in late] == ["de", "zh", "ja", "ja"] and late[0][1] < 1
+    assert [s["lang"] for s in late[0][2]] == ["en", "de"] and late[0][2][1]["end"] == 5064
+    assert labeller.label(["\u212aelvin \u0130stanbul \u2126"], spans=True)[0][2]
+
+
+def test_language_pieces_hold_every_letter():
+    text = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    found = language.pieces(text)
+    assert "".join(found) == "".join(re.findall(r"[^\W\d_]+", text))
+    assert all(len(p) <= language.PIECE and len({language.script(c) for c in p}) == 1 for p in found)
+
+
+def test_more_than_300_languages_are_learnt(spark):
+    rng = random.Random(15)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for _ in range(320)]
+    rows = [(i, " ".join(rng.choice(words[k % 320]) for _ in range(12)), f"l{k % 320:03d}") for k, i in enumerate(ids_to_learn(1280))]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    labels = language.Labeller(model).label([" ".join(w) for w in words])
+    assert len(model.languages) == 320 and sum(x[0] == f"l{k:03d}" for k, x in enumerate(labels)) > 315
+
+
+def test_language_scores_match_a_dense_model(spark, language_docs):
+    model = language.train(language_docs, per_language=10**6)
+    counts = {}
+    for r in language_docs.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            for p in language.pieces(r["text"]):
+                for g in language.grams(p):
+                    counts.setdefault(r["lang"], {})[g] = counts.setdefault(r["lang"], {}).get(g, 0) + 1
+    grams = {g for c in counts.values() for g in c}
+    for word in ["house", "grün", "unseen", "wxyz"]:
+        want = [sum(math.log((counts[x].get(g, 0) + 0.5) / (sum(counts[x].values()) + 0.5 * (len(grams) + 1))) if g in grams else math.log(0.5 / (sum(counts[x].values()) + 0.5 * (len(grams) + 1))) for g in language.grams(word)) for x in ("de", "en")]
+        assert all(abs(a - b) < 1e-3 for a, b in zip(model.word(word)[:2], want, strict=True))
+
+
+def test_samples_have_one_row_of_a_repeated_id(spark):
+    from rillwave.llm.sampling import class_sample
+
+    rows = [(7, "en", "b")] * 500 + [(7, "en", "a")] + [(i, "de", "c") for i in range(2000)]
+    got = class_sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), "doc_id", "lang", 100)
+    by = {lang: [r for r in got.collect() if r["lang"] == lang] for lang in ("en", "de")}
+    assert len(by["en"]) <= 1 and all(r["text"] == "a" for r in by["en"]) and 50 < len(by["de"]) < 160
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -253,3 +334,27 @@ def test_one_quoted_misspelling_stays_a_misspelling(spark):
     toxic = ["idiot"] * 30 + ["idi0t"] * 10 + ["idiom"]
     scorer = toxicity.train(*toxic_tables(spark, toxic, ['he wrote "idi0t" there'] + ["an idiom"] * 4 + [""] * 60))
     assert scorer.lexicon.match("idi0t") is not None and scorer.lexicon.match("idiom") is None
+
+
+def test_long_words_are_terms_and_matched_whole(spark):
+    long = "unspeakably" * 8
+    scorer = toxicity.train(*toxic_tables(spark, [long] * 30, [""] * 90))
+    assert scorer.lexicon.match(long) == (long, 0) and scorer.lexicon.match(long[:-1] + "x")[0] in (long, long[:4])
+    assert toxicity.Lexicon({long: 1.0}, {}).match(long[:40] + long[41:]) == (long, 1) and toxicity.Lexicon({long: 1.0}, {}).match("z" + long[3:]) is None
+
+
+def test_every_term_that_passes_is_learnt(spark):
+    words = [f"{a}{b}{c}zz" for a in "bcdfghjklm" for b in "aeiou" for c in "bcdfghjklmnpqrst"]
+    scorer = toxicity.train(*toxic_tables(spark, [" ".join(words)] * 8, [""] * 40))
+    assert len(words) == 800 and set(words) <= set(scorer.lexicon.terms)
+
+
+def test_score_matches_a_second_reading(spark):
+    scorer = toxicity.train(*toxic_tables(spark, ["idiot moron"] * 20 + ["idi0t"] * 20, ['he wrote "idiot" there'] * 5 + [""] * 100))
+    for text in ["", "you idiot", "a m0ron, an idiot", 'she said "idiot" twice', "plain words only"]:
+        x = scorer.features(text)
+        z = [max(-6.0, min(6.0, (a - m) / s)) for a, m, s in zip(x, scorer.mean, scorer.scale, strict=True)]
+        want = 1 / (1 + math.exp(-sum(a * w for a, w in zip([*z, 1.0], scorer.weights, strict=True))))
+        assert abs(scorer.score(text) - want) < 1e-9
+        hits = [w for w in re.findall(r"\w+", text.lower()) if any(levenshtein(w, t) <= toxicity.Lexicon.edits(t) for t in scorer.lexicon.terms)]
+        assert round(math.expm1(x[4])) == len({min((levenshtein(w, t), t) for t in scorer.lexicon.terms)[1] for w in hits})
