@@ -30,21 +30,34 @@ class Kernel:
         return result
 
 
+def exact_sum(values) -> float:
+    """The correctly rounded sum; where there is none (infinities of both signs, overflow), what plain addition gives."""
+    try:
+        return math.fsum(values)
+    except (ValueError, OverflowError):
+        return sum(values)
+
+
 class Buffered(Kernel):
     def __init__(self, window: int):
         self.window = window
         self.values: deque[float] = deque()
 
 
+#: A sum kept up by differences is renewed if it falls below this share of the value that leaves: what is left would be
+#: little more than its rounding error.
+CANCELLED = 1e-6
+
+
 class Sliding:
-    """The last values of a window and their sum: kept up by differences, renewed exactly once a window."""
+    """The last values of a window and their sum: kept up by differences, renewed exactly once a window and after cancellation."""
 
     def __init__(self, window: int):
         self.window, self.values, self.total, self.others, self.age = window, deque(), 0.0, 0, 0
 
     def add(self, x: float) -> float:
         """Takes a value in and returns the sum, exactly 0 if all values are."""
-        q = self.values
+        q, old = self.values, 0.0
         if len(q) >= self.window:
             old = q.popleft()
             self.total -= old
@@ -52,10 +65,11 @@ class Sliding:
         q.append(x)
         self.others += x != 0
         self.age += 1
+        self.total += x
         if self.age >= self.window:
-            self.total, self.age = math.fsum(q), 0
-        else:
-            self.total += x
+            self.total, self.age = exact_sum(q), 0
+        elif not math.isfinite(self.total) or abs(self.total) < CANCELLED * abs(old):
+            self.total = exact_sum(q)
         if not self.others:
             self.total = 0.0
         return self.total
@@ -100,7 +114,7 @@ class LnReturnKernel(Kernel):
         if before == 0:
             return None
         ratio = x / before
-        return math.log(ratio) if ratio > 0 else None
+        return math.log(ratio) if ratio > 0 or math.isnan(ratio) else None
 
 
 def _spread(stat: str, mean: float, variance: float) -> float:
@@ -216,7 +230,7 @@ class RocKernel(Buffered):
         if len(q) > self.window + 1:
             q.popleft()
         base = q[0]
-        return self._keep(100 * (x - base) / base if base else None)
+        return self._keep(100 * ((x - base) / base) if base else None)
 
     held = None
 
@@ -352,7 +366,7 @@ class PlacesKernel(Buffered):
         self.out = 0.0 if trend else None
 
     def step(self, x):
-        q, w = self.values, self.window
+        q, w, oldest = self.values, self.window, 0.0
         if len(q) >= w:
             oldest = q.popleft()
             self.total -= oldest
@@ -363,10 +377,11 @@ class PlacesKernel(Buffered):
         self.squared += x * x
         q.append(x)
         self.age += 1
-        if self.age >= w:
+        lost = not math.isfinite(self.total + self.placed + self.squared) or abs(self.total) < CANCELLED * abs(oldest) or self.squared < CANCELLED * oldest * oldest
+        if self.age >= w or lost:
             self.age = 0
-            self.total, self.squared = math.fsum(q), math.fsum(a * a for a in q)
-            self.placed = math.fsum(i * a for i, a in enumerate(q))
+            self.total, self.squared = exact_sum(q), exact_sum([a * a for a in q])
+            self.placed = exact_sum([i * a for i, a in enumerate(q)])
         n, total, placed = len(q), self.total, self.placed
         if not self.trend:
             return -(n * total - placed) / total + (n + 1) / 2 if total else 0.0
@@ -413,13 +428,13 @@ class EfficiencyKernel(Buffered):
 
     def step(self, x):
         q, w = self.values, self.window
-        path = self.path.add(math.sqrt((x - q[-1]) ** 2 + 1)) if q else None
+        path = self.path.add(math.sqrt((x - q[-1]) * (x - q[-1]) + 1)) if q else None
         if len(q) >= w:
             q.popleft()
         q.append(x)
         if len(q) < w:
             return None
-        p = math.sqrt((x - q[0]) ** 2 + w * w) / path
+        p = math.sqrt((x - q[0]) * (x - q[0]) + w * w) / path
         return self.smoother.step(-p if x < q[-2] else p)
 
 
@@ -555,7 +570,7 @@ class FlexKernel(Buffered):
         self.x1 = x
         q.append(y)
         self.n += 1
-        self.total = math.fsum(q) if self.n % w == 0 else self.total + y
+        self.total = exact_sum(q) if self.n % w == 0 else self.total + y
         k = len(q)
         d = k * y - self.total
         if self.slope:
@@ -659,24 +674,25 @@ _BINARY = {v.Add: lambda a, b: a + b, v.Subtract: lambda a, b: a - b, v.Multiply
 
 
 class Program:
-    """The distinct views under some roots with their states, for one series."""
+    """The distinct views under some roots with their states, for one series. strict stops at a division by 0 and at any
+    output that is not finite, of inner views too."""
 
-    def __init__(self, roots: list[v.View]):
+    def __init__(self, roots: list[v.View], strict: bool = False):
         order: dict[v.View, int] = {}
         for root in roots:
             for view in root.nodes():
                 order.setdefault(view, len(order))
+        self.strict = strict
         self.roots = [order[r] for r in roots]
-        self.steps = []
-        for view in order:
-            at = [order[s] for s in view.sources()]
-            plain = isinstance(view, (v.Echo, v.Constant, v.Binary, v.Tanh))
-            self.steps.append((view if plain else None, at, None if plain else kernel(view)))
+        self.views = list(order)
+        self.sources = [[order[s] for s in view.sources()] for view in order]
+        self.plain = [isinstance(view, (v.Echo, v.Constant, v.Binary, v.Tanh)) for view in order]
+        self.steps = [(view if plain else None, at, None if plain else kernel(view)) for view, at, plain in zip(order, self.sources, self.plain, strict=True)]
 
     def scan(self, values: list[float]) -> list[list[float | None]]:
         """The outputs of the roots for the next values of the series."""
         done: list[list[float | None]] = []
-        for view, at, state in self.steps:
+        for i, (view, at, state) in enumerate(self.steps):
             if state is not None:
                 done.append(state.scan(done[at[0]]))
             elif isinstance(view, v.Echo):
@@ -687,7 +703,12 @@ class Program:
                 done.append([None if x is None else math.tanh(x) for x in done[at[0]]])
             else:
                 f = _BINARY[type(view)]
-                done.append([None if a is None or b is None else f(a, b) for a, b in zip(done[at[0]], done[at[1]], strict=True)])
+                pairs = list(zip(done[at[0]], done[at[1]], strict=True))
+                if self.strict and isinstance(view, v.Divide) and any(a is not None and b == 0 for a, b in pairs):
+                    raise ZeroDivisionError("division by zero")
+                done.append([None if a is None or b is None else f(a, b) for a, b in pairs])
+            if self.strict and any(x is not None and not math.isfinite(x) for x in done[-1]):
+                raise ValueError("value must be finite" if isinstance(self.views[i], v.Echo) else f"{type(self.views[i]).__name__} must be finite")
         return [done[r] for r in self.roots]
 
     def before(self) -> list[float | None]:

@@ -7,6 +7,7 @@ ticks. Equal subtrees are evaluated once.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 from typing import Any
@@ -76,7 +77,7 @@ class Multiply(Binary):
 
 @dataclass(frozen=True)
 class Divide(Binary):
-    """left / right; null where right is 0."""
+    """left / right; null where right is 0, an error in strict mode."""
 
 
 @dataclass(frozen=True)
@@ -295,7 +296,13 @@ class RoofingFilter(Windowed):
 
 @dataclass(frozen=True)
 class ReFlex(Windowed):
-    """Sum of a filtered series' differences from a slope line, over their running deviation (unstable for windows 2 to 8)."""
+    """Sum of a filtered series' differences from a slope line, over their running deviation (unstable for windows 2 to 8:
+    the filter grows without bound, and once it overflows outputs are NaN or stay as they were)."""
+
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        if 2 <= self.window <= 8:
+            warnings.warn(f"ReFlex is unstable with a window of {self.window}", stacklevel=3)
 
 
 @dataclass(frozen=True)

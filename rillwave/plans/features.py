@@ -41,7 +41,7 @@ def features(
 
     order must be total within a series. A null value is no update: outputs keep what they were, unless
     nulls="absent" promises that there are none, which saves a pass. drop_warmup keeps rows on which every output
-    is ready; strict raises on infinite and NaN values, and on a division by 0. dtype="float" rounds the outputs.
+    is ready; strict raises on infinite and NaN values, of inner views too, and on a division by 0. dtype="float" rounds the outputs.
     engine "window" or "scan" forces a form; "auto" takes windows where all outputs have that form and no window is
     longer than FRAME, as they stay in the JVM, else a single scan for all. Both need one exchange, by key.
     """

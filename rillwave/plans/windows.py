@@ -83,15 +83,19 @@ class WindowPlan:
         """The name of the view's column."""
         for node in view.nodes():
             if node not in self.columns:
-                self.columns[node] = self._compile(node)
+                self.columns[node] = self._checked(node, self._compile(node))
         return self.columns[view]
 
+    def _checked(self, view: v.View, name: str) -> str:
+        """In strict mode an output that is not finite stops the query, an inner view's too."""
+        if not self.strict:
+            return name
+        x, what = F.col(name), "value" if isinstance(view, v.Echo) else type(view).__name__
+        bad = F.isnan(x) | (F.abs(x) == F.lit(math.inf))
+        return self._add(F.when(bad, F.raise_error(F.lit(f"{what} must be finite")).cast("double")).otherwise(x))
+
     def _compile(self, view: v.View) -> str:
         if isinstance(view, v.Echo):
-            if self.strict:
-                x = F.col(self.value)
-                bad = F.isnan(x) | (F.abs(x) == F.lit(math.inf))
-                return self._add(F.when(bad, F.raise_error(F.lit("value must be finite")).cast("double")).otherwise(x))
             return self.value
         if isinstance(view, v.Constant):
             return self._add(F.lit(float(view.value)))
@@ -190,19 +194,26 @@ class WindowPlan:
         return F.when(n < 2, F.lit(None)).when(n < 4, F.lit(0.0)).otherwise(total / (n * (n - 1) / 2))
 
     def _places(self, view: v.View, x: Column, ticks, frame, rn: Column) -> Column:
-        """Sums over values and their places in the frame, from sums over row numbers: no list per row."""
-        row = F.col(self._add(rn.cast("double")))
-        total, placed = F.sum(x).over(frame), F.sum(row * x).over(frame)
-        n = F.least(row, F.lit(float(view.window)))
-        s = F.col(self._add(total))
-        p = F.col(self._add(placed - (row - n + 1) * total))
+        """Sums over values and their places in the frame: no list per row.
+
+        Rows are numbered within blocks of a window. A frame lies in two of them, told apart by their parity, so places
+        stay below twice the window however long the series is, and sums do not cancel.
+        """
+        w = F.lit(float(view.window))
+        at = F.col(self._add(rn - 1))
+        inner, odd = F.col(self._add((at % view.window).cast("double"))), F.col(self._add(F.floor(at / view.window) % 2 == 1))
+        even_sum = F.col(self._add(F.sum(F.when(odd, 0.0).otherwise(x)).over(frame)))
+        odd_sum = F.col(self._add(F.sum(F.when(odd, x).otherwise(0.0)).over(frame)))
+        s = F.col(self._add(even_sum + odd_sum))
+        n = F.least((at + 1).cast("double"), w)
+        placed = F.sum(inner * x).over(frame) + w * F.when(odd, odd_sum).otherwise(even_sum)
+        p = F.col(self._add(F.col(self._add(placed)) - (inner + w - n + 1) * s))
         if isinstance(view, v.CenterOfGravity):
             return F.when(s == 0, F.lit(0.0)).otherwise(F.try_divide(-(n * s - p), s) + (n + 1) / 2)
-        w = F.lit(float(view.window))
         places, squares = n * (n - 1) / 2, (n - 1) * n * (2 * n - 1) / 6
         sx = F.col(self._add(w * F.sum(x * x).over(frame) - s * s))
         sy = w * squares - places * places
-        return F.when((sx > 0) & (sy > 0), (w * p - s * places) / F.sqrt(sx * sy)).otherwise(F.lit(0.0))
+        return F.when((sx > 0) & ~F.isnan(sx) & (sy > 0), (w * p - s * places) / F.sqrt(sx * sy)).otherwise(F.lit(0.0))
 
     def results(self, views: dict[str, v.View], nulls: str) -> dict[str, Column]:
         """The outputs by name; on rows with a null input the outputs before, if nulls is hold."""

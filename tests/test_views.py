@@ -101,6 +101,76 @@ def test_windows_agree_with_scans(series):
     assert {(i, n): (a[i][n], b[i][n]) for i in b for n in trees if not same(a[i][n], b[i][n])} == {}
 
 
+def same_or_nan(a, b):
+    return a is not None and b is not None and (math.isnan(a) and math.isnan(b) or a == b) or same(a, b)
+
+
+@pytest.mark.parametrize("values", [[1.0, math.inf, 2.0, -math.inf, math.inf, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0], [1e300, 1e300, -1e300, 1e300, 5.0, 6.0, 7.0, 8.0, 9.0, 1.0, 2.0, 4.0]])
+def test_windows_agree_with_scans_beyond_finite_numbers(spark, values):
+    df = spark.createDataFrame([(k, t, x) for k in range(2) for t, x in enumerate(values)], "k long, t long, value double")
+    trees = {"sma": Sma(3), "cum": Cumulative(3), "alma": Alma(3), "cog": CenterOfGravity(3), "cti": CorrelationTrend(3), "rsi": Rsi(3), "my": MyRSI(3), "roc": Roc(2), "ln": LnReturn(), "min": Min(3), "max": Max(3), "entropy": BinaryEntropy(3)}
+    if values[0] == 1e300:
+        del trees["cog"]  # a sum of 1e300, -1e300 and 5 depends on the order of addition
+    a, b = (collected(features(df, "k", "t", trees, engine=e), trees) for e in ("window", "scan"))
+    assert {(i, n): (a[i][n], b[i][n]) for i in b for n in trees if not same_or_nan(a[i][n], b[i][n])} == {}
+
+
+def test_sums_may_overflow():
+    values = [1e308, 1e308, -1e308, 1e308, -1e308, -1e308, 5.0, 6.0, math.nan, math.inf, -math.inf, 1.0, 2.0, 3.0, 4.0]
+    for view in [Sma(3), Cumulative(3), Alma(3), CenterOfGravity(3), CorrelationTrend(3), PolarizedFractalEfficiency(4), TrendFlex(3), WelfordRolling(), Rsi(3), BinaryEntropy(3)]:
+        assert len(Program([view]).scan(values)[0]) == len(values)
+
+
+def test_reflex_of_two_runs_through():
+    with pytest.warns(UserWarning, match="unstable"):
+        view = ReFlex(2)
+    out = Program([view]).scan(walk(5000, 3))[0]
+    assert len(out) == 5000 and out[0] is None and math.isfinite(out[50])
+
+
+def test_series_side_by_side_give_what_kernels_give(monkeypatch):
+    import pyarrow as pa
+
+    from rillwave.plans import scan
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(200):
+        kind = ("walk", "zeros", "flat", "signed", "gaps")[k % 5]
+        for t, x in enumerate(walk(rng.choice([1, 2, 3, 5, 17, 40, 45, 60, 64]), k, "walk" if kind == "gaps" else kind)):
+            rows.append((k, t, rng.choice([None, 0.0, x, x]) if kind == "gaps" else x))
+    rows[700:703] = [(*r[:2], x) for r, x in zip(rows[700:703], (math.inf, math.nan, 1e308))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["k", "t", "__value"])
+    views = [t for t in TREES.values() if not any(isinstance(n, Expression) for n in t.nodes())]
+    views += [HLNormalizer(12), WelfordOnline(8), Vst(8), Vsct(8), CyberCycle(3), CyberCycle(5), CyberCycle(8), PolarizedFractalEfficiency(10, smoother=Ema(4)), LaguerreRSI(8), ReFlex(12), TrendFlex(12), SuperSmoother(10)]
+    views += [RoofingFilter(10, smooth=5), EhlersFisher(9, smoother=Roc(2, LnReturn())), HLNormalizer(20, Roc(15, Ema(10))), NoiseElimination(8, MyRSI(10)), Ema(1), HLNormalizer(1), WelfordOnline(1), TrendFlex(1)]
+    made = {}
+    for least in (8, 10**9):
+        monkeypatch.setattr("rillwave.plans.blocks.LEAST", least)
+        monkeypatch.setattr(scan, "LEAST", least)
+        made[least] = pa.Table.from_batches(list(scan.scanner(views, ["k"], False, "hold")(iter([batch.slice(0, 1234), batch.slice(1234)]))))
+    for i, view in enumerate(views):
+        a, b = (made[n].column(f"__out{i}").to_pylist() for n in made)
+        assert [(view, j, x, y) for j, (x, y) in enumerate(zip(a, b, strict=True)) if not same_or_nan(x, y)] == []
+
+
+def test_places_do_not_cancel_on_long_series(spark):
+    n, w = 40_000, 12
+    df = spark.range(n).selectExpr("0L AS k", "id AS t", "1e6 + sin(id * 1.7) AS value")
+    got = collected(features(df, "k", "t", {"cog": CenterOfGravity(w), "cti": CorrelationTrend(w)}, engine="window"), ("cog", "cti"))
+    for t in range(n - 20, n):
+        q = [1e6 + math.sin(i * 1.7) for i in range(t - w + 1, t + 1)]
+        assert abs(got[0, t]["cog"] - (-math.fsum((w - i) * x for i, x in enumerate(q)) / math.fsum(q) + (w + 1) / 2)) < 1e-9
+
+
+def test_strict_looks_inside_trees(spark):
+    df = spark.createDataFrame([(1, t, x) for t, x in enumerate([0.0, 1.0, 2.0])], "k long, t long, value double")
+    for engine, view, what in (("window", Divide(Constant(1.0), Echo()), "ZERO"), ("scan", Divide(Constant(1.0), Ema(1)), "division"), ("scan", Ema(1, Multiply(Constant(1e308), Multiply(Constant(10.0), Echo()))), "Multiply must be finite"), ("window", Sma(1, Multiply(Constant(1e308), Multiply(Constant(10.0), Echo()))), "Multiply must be finite")):
+        with pytest.raises(Exception, match=what):
+            features(df, "k", "t", {"o": view}, strict=True, engine=engine).collect()
+    assert features(df, "k", "t", {"o": Divide(Constant(1.0), Echo())}).count() == 3
+
+
 def test_nulls_hold_the_outputs(spark):
     values = [1.0, None, 2.0, None, None, 4.0, 3.0]
     df = spark.createDataFrame([(1, t, x) for t, x in enumerate(values)], "k long, t long, value double")
