@@ -71,9 +71,13 @@ def write_features(df: DataFrame, path: str, *, fmt: str | None = None, mode: st
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share; a temporary one only where the session names none."""
+    """A new path in the folder that all executors share. Where the session names none, in a temporary one in local mode;
+    on a cluster that would be another folder on each machine, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="rillwave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/{label}-{uuid.uuid4().hex}"

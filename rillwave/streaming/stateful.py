@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, FloatType, StructField, StructType
 
 from rillwave.operators.kernels import Program
 from rillwave.operators.views import View
@@ -29,15 +29,17 @@ def stream_features(df: DataFrame, key: str | list[str], order: str | list[str],
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
     names, roots = list(outputs), list(outputs.values())
-    columns = df.columns
-    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+    # pandas has NaN for null too, so booleans beside the columns tell which is which.
+    columns = [*df.columns, "__null"]
+    made_fields = [StructField(n, DoubleType()) for n in names] + [StructField(f"__nan{i}", BooleanType()) for i in range(len(names))]
+    schema = StructType([*df.schema.fields, StructField("__null", BooleanType()), *made_fields])
 
     def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
         if state.exists:
             program, last, held = pickle.loads(state.get[0])
         else:
-            program, last = Program(roots), None
+            program, last = Program(roots, strict), None
             held = program.before()
         places = list(rows[order].itertuples(index=False, name=None))
         if last is not None:
@@ -45,8 +47,8 @@ def stream_features(df: DataFrame, key: str | list[str], order: str | list[str],
             rows, places = rows[fresh], [p for p, ok in zip(places, fresh, strict=True) if ok]
         if not len(rows):
             return
-        values = [None if x is None or (isinstance(x, float) and math.isnan(x)) else float(x) for x in rows["__value"]]
-        if strict and any(x is not None and math.isinf(x) for x in values):
+        values = [None if gone else float(x) for x, gone in zip(rows["__value"], rows["__null"], strict=True)]
+        if strict and any(x is not None and not math.isfinite(x) for x in values):
             raise ValueError("value must be finite")
         made = program.scan([x for x in values if x is not None])
         out = rows[columns].copy()
@@ -56,11 +58,16 @@ def stream_features(df: DataFrame, key: str | list[str], order: str | list[str],
                 if x is not None:
                     now = next(mine)
                 col.append(now)
-            out[name] = pd.Series(col, index=out.index, dtype="Float64").astype("object").where(lambda s: s.notna(), None)
+            out[name] = pd.Series(col, index=out.index, dtype="object")
+            out[f"__nan{i}"] = [x is not None and math.isnan(x) for x in col]
             held[i] = now
         state.update((pickle.dumps((program, places[-1], held)),))
-        yield out
+        yield out[schema.names]
 
     importable(df.sparkSession)
-    rows = df.withColumn("__value", F.col(value).cast("double"))
-    return rows.groupBy(*key).applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = df.withColumn("__value", F.col(value).cast("double")).withColumn("__null", F.col(value).isNull())
+    out = rows.groupBy(*key).applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
+    nan = F.lit(math.nan)
+    given = F.when(F.col(value).isNull() & ~F.col("__null"), nan.cast(df.schema[value].dataType)).otherwise(F.col(value)).alias(value)
+    read = [given if c == value and df.schema[c].dataType in (DoubleType(), FloatType()) else F.col(c) for c in df.columns]
+    return out.select(*read, *[F.when(F.col(f"__nan{i}"), nan).otherwise(F.col(n)).alias(n) for i, n in enumerate(names)])
