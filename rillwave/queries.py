@@ -102,6 +102,7 @@ VIEWS: dict[str, View] = {
     "super_smoother": SuperSmoother(10),
     "roofing": RoofingFilter(10, smooth=5),
     "reflex": ReFlex(12),
+    "reflex_w9": ReFlex(9),
     "trendflex": TrendFlex(12),
     "chain_hl_roc_ema": HLNormalizer(20, Roc(15, Ema(10))),
     "chain_alma_vsct": Alma(12, Vsct(12)),
@@ -137,6 +138,18 @@ def on_orders(view: View) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+#: Views that also run over few long series: the events of each type.
+LONG = ("sma", "ema", "hl_normalizer", "cti", "center_of_gravity", "trendflex", "welford_online", "chain_hl_roc_ema")
+
+
+def on_types(view: View) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts", "value")
+        return features(events, "event_type", ["ts", "event_id"], {"out": view}).select("event_id", "event_type", rounded("out"))
+
+    return query
+
+
 def all_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value")
     made = features(events, "user_id", ["ts", "event_id"], {n: VIEWS[n] for n in TOGETHER})
@@ -174,6 +187,7 @@ def _events_sql(view: View, name: str = "out") -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: on_events(view) for name, view in VIEWS.items()}
+    found |= {f"long_{name}": on_types(VIEWS[name]) for name in LONG}
     found["orders_ema"] = on_orders(Ema(5))
     found["orders_rsi"] = on_orders(Rsi(4))
     found |= {"all_together": all_together, "final_values": final_values, "ready_rows": ready_rows, "stream": stream}
@@ -182,6 +196,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {name: _events_sql(view) for name, view in VIEWS.items()}
+    for name in LONG:
+        found[f"long_{name}"] = OracleSql("events", "event_type", "event_id", "ts, event_id", "value").sql(VIEWS[name])
     for name, view in (("orders_ema", Ema(5)), ("orders_rsi", Rsi(4))):
         found[name] = OracleSql("orders", "o_custkey", "o_orderkey", "o_orderdate, o_orderkey", "o_totalprice").sql(view)
     joined = " ".join(f"JOIN ({found[n]}) t_{n} USING (event_id)" for n in TOGETHER)

@@ -3,7 +3,7 @@ import pytest
 
 from rillwave import queries
 
-NAMES = ["ema", "cti", "hl_normalizer", "roofing", "reflex", "fisher", "pfe", "tree_readme", "final_values", "ready_rows", "orders_rsi"]
+NAMES = ["ema", "cti", "hl_normalizer", "roofing", "reflex", "reflex_w9", "long_cti", "long_hl_normalizer", "fisher", "pfe", "tree_readme", "final_values", "ready_rows", "orders_rsi"]
 
 
 def test_each_query_has_sql():
