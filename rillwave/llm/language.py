@@ -26,6 +26,10 @@ SAMPLE_PER_LANGUAGE = 3_000
 SHARE = 1 / 100_000
 #: Letters of a piece of a word at most.
 PIECE = 24
+#: Cells of the model up to which a worker keeps it as a matrix.
+DENSE_CELLS = 20_000_000
+#: Scores of pieces that are looked up at once; pieces of texts of which the new ones are scored together (about).
+SCORED_CELLS, LEARNT_AT_ONCE = 500_000, 100_000
 #: Words, and scores of words, that a worker remembers.
 REMEMBERED, REMEMBERED_SCORES = 600_000, 6_000_000
 #: Log-probability that a change of language between two words costs.
@@ -130,17 +134,42 @@ class Model:
         self.first = np.append(0, np.cumsum(np.bincount(what, minlength=len(names)))).astype(np.int64)
         self.row = {g: i for i, g in enumerate(names)}
 
+    @functools.cached_property
+    def dense(self) -> np.ndarray | None:
+        """The same as a matrix with a last row for unseen n-grams, if it is of moderate size: one look-up for a piece."""
+        if (len(self.row) + 1) * len(self.languages) > DENSE_CELLS:
+            return None
+        matrix = np.repeat(self.unseen[None, :], len(self.row) + 1, axis=0)
+        matrix[np.repeat(np.arange(len(self.row)), np.diff(self.first)), self.lang] += self.more
+        return matrix
+
     def word(self, word: str) -> np.ndarray:
-        """Scores of a piece; languages that do not use its script are out, unless none does."""
-        found = grams(word)
-        total = self.unseen * np.float32(len(found))
-        for g in found:
-            i = self.row.get(g)
-            if i is not None:
-                a, b = self.first[i], self.first[i + 1]
-                total[self.lang[a:b]] += self.more[a:b]
-        fits = self.scripts.get(script(word))
-        return total if fits is None else np.where(fits, total, np.float32(-1e6))
+        """Scores of a piece."""
+        return self.words([word])[0]
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of pieces; languages that do not use a piece's script are out, unless none does."""
+        found = [grams(w) for w in words]
+        total = np.empty((len(words), len(self.languages)), dtype=np.float32)
+        if self.dense is not None:
+            row, unknown = self.row.get, len(self.row)
+            step = max(1, SCORED_CELLS // len(self.languages))
+            for at in range(0, len(words), step):
+                some = found[at : at + step]
+                ends = np.cumsum(np.fromiter(map(len, some), dtype=np.int64, count=len(some)))
+                rows = np.fromiter((row(g, unknown) for gs in some for g in gs), dtype=np.int64, count=int(ends[-1]))
+                total[at : at + step] = np.add.reduceat(self.dense[rows], np.append(0, ends[:-1]), axis=0)
+        else:
+            for k, gs in enumerate(found):
+                total[k] = self.unseen * np.float32(len(gs))
+                for i in filter(lambda i: i is not None, map(self.row.get, gs)):
+                    a, b = self.first[i], self.first[i + 1]
+                    total[k, self.lang[a:b]] += self.more[a:b]
+        names = [script(w) for w in words]
+        for name in set(names):
+            if name in self.scripts:
+                total[np.ix_(np.array([x == name for x in names]), ~self.scripts[name])] = -1e6
+        return total
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -218,14 +247,17 @@ class _Words(dict):
         self.scores = np.zeros((1024, len(model.languages)), dtype=np.float32)
         self.letters = np.zeros(1024, dtype=np.int64)
 
-    def __missing__(self, word: str) -> int:
-        i = self[word] = len(self)
-        if i >= len(self.scores):
+    def learn(self, words: set[str]) -> None:
+        """Score those of words that are new, all at once."""
+        new = [w for w in words if w not in self]
+        n = len(self)
+        while n + len(new) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.scores[i] = self.model.word(word)
-        self.letters[i] = len(word) if word.isalpha() else sum(map(str.isalpha, word))
-        return i
+        if new:
+            self.scores[n : n + len(new)] = self.model.words(new)
+            self.letters[n : n + len(new)] = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new]
+            self.update(zip(new, range(n, n + len(new))))
 
 
 class Labeller:
@@ -241,7 +273,14 @@ class Labeller:
         if len(self.known) > min(REMEMBERED, REMEMBERED_SCORES // len(self.model.languages)):
             self.known = _Words(self.model)
         known = self.known
-        ids = [np.fromiter(map(known.__getitem__, pieces(_lower(t))), dtype=np.int32) for t in texts]
+        ids: list[np.ndarray] = []
+        held: list[list[str]] = []
+        for k, t in enumerate(texts):
+            held.append(pieces(_lower(t)))
+            if k + 1 == len(texts) or sum(map(len, held)) > LEARNT_AT_ONCE:
+                known.learn(set().union(*held))
+                ids += [np.fromiter(map(known.__getitem__, found), dtype=np.int32, count=len(found)) for found in held]
+                held = []
         counts = np.array([len(x) for x in ids], dtype=np.int64)
         starts = np.cumsum(counts) - counts
         flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
