@@ -2,6 +2,10 @@
 
 run(spark, sf_dir) applies STAGES to documents. Each stage is a function (spark, docs, sf_dir) -> DataFrame whose
 result is written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+In every stage: null texts count as empty; very long texts are taken whole; columns beyond those of documents pass
+through whatever their names, except in the last stage, which gives ids and digests; an empty table gives an empty
+result. A null doc_id is an id of its own. Rows that repeat a doc_id stay or go together; of ties the smallest doc_id stays.
 """
 
 from __future__ import annotations
