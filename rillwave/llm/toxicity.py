@@ -116,17 +116,17 @@ class Lexicon:
 
     def _move(self, number: int, letter: str) -> int:
         out: dict[int, int] = {}
-
-        def reach(node: int, edits: int):
-            if edits <= self.most[node] or edits == 0:
-                if out.get(node, 9) > edits:
-                    out[node] = edits
-
         for node, edits in self.states[number].items():
-            for c, child in self.children[node].items():
-                reach(child, edits + (c != letter))
-            if edits + 1 <= self.most[node]:
-                reach(node, edits + 1)
+            below, more = self.children[node], edits + 1
+            if more <= self.most[node]:
+                if out.get(node, 9) > more:
+                    out[node] = more
+                steps = [(child, edits if c == letter else more) for c, child in below.items()]
+            else:  # no term below may have another edit: only the letter itself leads on
+                steps = [(below[letter], edits)] if letter in below else []
+            for child, cost in steps:
+                if (cost <= self.most[child] or cost == 0) and out.get(child, 9) > cost:
+                    out[child] = cost
         self.moves[number][letter] = made = self._number(self._closed(out))
         return made
 
