@@ -34,6 +34,8 @@ ONE_EDIT, TWO_EDITS = 5, 9
 WINDOW = 6
 THRESHOLD = 0.7
 REMEMBERED = 250_000
+#: States, of about 1 KB, that a lexicon's automata keep before they forget those beyond the first letters.
+STATES, KEPT_LETTERS = 150_000, 4
 FEATURE_NAMES = ("abuse", "quoted", "misspelt", "stems", "terms", "rate", "strongest", "length")
 
 _WORD = re.compile(r"\w+")
@@ -49,12 +51,106 @@ REPORTING = frozenset(
 ADDRESSING = frozenset("you your youre ur u du dich dir dein deine ihr euch tu te toi ton vous votre tú ti eres usted ustedes vosotros".split())
 
 
+class _State:
+    __slots__ = ("at", "nodes", "moves")
+
+    def __init__(self, at: int, nodes: tuple[tuple[int, int], ...]):
+        self.at, self.nodes, self.moves = at, nodes, {}
+
+
+class _Automaton:
+    """The trie of the terms that a word of one length can be near, and an automaton over it that reads such words once.
+
+    A state is a place in the word and the set of trie nodes that the letters so far can have led to, each with the
+    fewest edits. States and their transitions are made when a word first needs them: the trie and the Levenshtein
+    automata of all terms are intersected only where words go. A node stays while some term below it can still be
+    reached: the letters left of term and word differ by no more than the edits left.
+    """
+
+    def __init__(self, length: int, terms: dict[str, int]):
+        self.children: list[dict[str, int]] = [{}]
+        self.depth = [0]
+        self.term_at: dict[int, str] = {}
+        # By node, and by how far the word is ahead of the node (-3 to 3): the edits that may have been made by now.
+        self.room: list[list[int]] = [[-1] * 7]
+        for term, edits in terms.items():
+            room = [edits - abs(len(term) - length + ahead) if abs(ahead) < 3 else -1 for ahead in range(-3, 4)]
+            node = 0
+            self.room[0] = list(map(max, self.room[0], room))
+            for depth, c in enumerate(term, 1):
+                nxt = self.children[node].get(c)
+                if nxt is None:
+                    nxt = self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.depth.append(depth)
+                    self.room.append(room)
+                else:
+                    self.room[nxt] = list(map(max, self.room[nxt], room))
+                node = nxt
+            self.term_at[node] = term
+        self.states: dict[tuple, _State] = {}
+        self.made = 0
+        self.start = self._state(0, {0: 0})
+
+    def forget(self, letters: int) -> None:
+        """Leaves only the states of the first letters, which most words share."""
+        self.states = {key: state for key, state in self.states.items() if state.at <= letters}
+        for state in self.states.values():
+            if state.at == letters:
+                state.moves.clear()
+
+    def _state(self, at: int, nodes: dict[int, int]) -> _State:
+        """The state of these nodes and those reached from them by leaving out letters of terms."""
+        depth, room = self.depth, self.room
+        todo = list(nodes.items())
+        while todo:
+            node, edits = todo.pop()
+            ahead, more = at - depth[node] + 3, edits + 1
+            if more <= room[node][ahead - 1]:
+                for child in self.children[node].values():
+                    if more <= room[child][ahead - 1] and nodes.get(child, 9) > more:
+                        nodes[child] = more
+                        todo.append((child, more))
+        key = (at, *sorted(nodes.items()))
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = _State(at, key[1:])
+            self.made += 1
+        return state
+
+    def _move(self, state: _State, letter: str) -> _State:
+        at = state.at
+        depth, room = self.depth, self.room
+        out: dict[int, int] = {}
+        for node, edits in state.nodes:
+            below, more, ahead = self.children[node], edits + 1, at - depth[node] + 3
+            if more <= room[node][ahead + 1] and out.get(node, 9) > more:
+                out[node] = more
+            if more <= room[node][ahead]:
+                for child in below.values():
+                    if more <= room[child][ahead] and out.get(child, 9) > more:
+                        out[child] = more
+            same = below.get(letter)
+            if same is not None and edits <= room[same][ahead] and out.get(same, 9) > edits:
+                out[same] = edits
+        state.moves[letter] = made = self._state(at + 1, out)
+        return made
+
+    def read(self, word: str) -> tuple[tuple[int, int], ...]:
+        """The nodes that a whole word leads to, with the fewest edits."""
+        state = self.start
+        for c in word:
+            nxt = state.moves.get(c)
+            state = self._move(state, c) if nxt is None else nxt
+            if not state.nodes:
+                break
+        return state.nodes
+
+
 class Lexicon:
-    """A trie of terms and an automaton over it that reads a word once and keeps every term within its edits.
+    """Terms, which match whole words within their edits, and stems, which match without edits what a word begins with.
 
-    A state is the set of trie nodes that the letters so far can have led to, each with the fewest edits. States and
-    their transitions are made when a word first needs them: the trie and the Levenshtein automata of all terms are
-    intersected only where words go. Terms match whole words; stems match, without edits, what a word begins with.
+    Words of each length have an automaton of their own, over the terms near in length.
     """
 
     def __reduce__(self):
@@ -62,96 +158,49 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], clean: frozenset[str] = frozenset()):
         self.terms, self.stems, self.clean = terms, stems, clean
-        self.children: list[dict[str, int]] = [{}]
-        self.term_at: dict[int, str] = {}
-        self.stem_at: dict[int, str] = {}
-        self.most: list[int] = [0]  # edits that some term below a node allows
-        for store, words in ((self.term_at, terms), (self.stem_at, stems)):
-            for w in words:
-                edits = self.edits(w) if store is self.term_at else 0
-                node = 0
-                self.most[0] = max(self.most[0], edits)
-                for c in w:
-                    nxt = self.children[node].get(c)
-                    if nxt is None:
-                        nxt = self.children[node][c] = len(self.children)
-                        self.children.append({})
-                        self.most.append(0)
-                    node = nxt
-                    self.most[node] = max(self.most[node], edits)
-                store[node] = w
-        self.reset()
+        self.stem_lengths = sorted({len(s) for s in stems}, reverse=True)
+        self.near: dict[int, dict[str, int]] = {}
+        for term in terms:
+            edits = self.edits(term)
+            for length in range(len(term) - edits, len(term) + edits + 1) if edits else ():
+                self.near.setdefault(length, {})[term] = edits
+        self.automata: dict[int, _Automaton] = {}
+        self.kept = 0
 
     @staticmethod
     def edits(term: str) -> int:
         return 2 if len(term) >= TWO_EDITS else 1 if len(term) >= ONE_EDIT else 0
 
-    def reset(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[dict[int, int]] = []
-        self.stem_of: list[str | None] = []  # the longest stem that a state has read without edits just now
-        self.moves: list[dict[str, int]] = []
-        self.start = self._number(self._closed({0: 0}))
-
-    def _closed(self, state: dict[int, int]) -> dict[int, int]:
-        """With the nodes reached by leaving out letters of terms."""
-        todo = list(state.items())
-        while todo:
-            node, edits = todo.pop()
-            if edits < self.most[node]:
-                for child in self.children[node].values():
-                    if edits + 1 <= self.most[child] and state.get(child, 9) > edits + 1:
-                        state[child] = edits + 1
-                        todo.append((child, edits + 1))
-        return state
-
-    def _number(self, state: dict[int, int]) -> int:
-        key = tuple(sorted(state.items()))
-        if key not in self.numbers:
-            self.numbers[key] = len(self.states)
-            self.states.append(state)
-            self.stem_of.append(next((self.stem_at[node] for node, edits in state.items() if edits == 0 and node in self.stem_at), None))
-            self.moves.append({})
-        return self.numbers[key]
-
-    def _move(self, number: int, letter: str) -> int:
-        out: dict[int, int] = {}
-        for node, edits in self.states[number].items():
-            below, more = self.children[node], edits + 1
-            if more <= self.most[node]:
-                if out.get(node, 9) > more:
-                    out[node] = more
-                steps = [(child, edits if c == letter else more) for c, child in below.items()]
-            else:  # no term below may have another edit: only the letter itself leads on
-                steps = [(below[letter], edits)] if letter in below else []
-            for child, cost in steps:
-                if (cost <= self.most[child] or cost == 0) and out.get(child, 9) > cost:
-                    out[child] = cost
-        self.moves[number][letter] = made = self._number(self._closed(out))
-        return made
+    def forget(self) -> None:
+        """Makes room for states: of the first letters of words, all are kept if they take no more than half of it."""
+        for letters in (KEPT_LETTERS, 0):
+            for a in self.automata.values():
+                a.forget(letters)
+            self.kept = sum(len(a.states) for a in self.automata.values())
+            if self.kept <= STATES // 2:
+                break
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The term or stem that a word is, and its edits (0 exact, -1 a stem)."""
         word = word.lower()
         if word in self.terms:
             return word, 0
-        if len(self.states) > 50_000:
-            self.reset()
-        state, stem = self.start, None
-        for c in word:
-            nxt = self.moves[state].get(c)
-            state = self._move(state, c) if nxt is None else nxt
-            if self.stem_of[state] is not None:
-                stem = self.stem_of[state]
-            elif not self.states[state]:
-                break
-        if stem is not None:
-            return stem, -1
-        if word in self.clean:
+        for length in self.stem_lengths:
+            if word[:length] in self.stems:
+                return word[:length], -1
+        if len(word) not in self.near or word in self.clean:
             return None
+        automaton = self.automata.get(len(word))
+        if automaton is None:
+            automaton = self.automata[len(word)] = _Automaton(len(word), self.near[len(word)])
+        made = automaton.made
+        nodes = automaton.read(word)
+        self.kept += automaton.made - made
+        if self.kept > STATES:
+            self.forget()
         best = None
-        for node, edits in self.states[state].items():
-            term = self.term_at.get(node)
+        for node, edits in nodes:
+            term = automaton.term_at.get(node)
             if term is not None and 0 < edits <= self.edits(term) and (best is None or (edits, term) < (best[1], best[0])):
                 best = term, edits
         return best

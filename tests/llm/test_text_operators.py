@@ -358,3 +358,17 @@ def test_score_matches_a_second_reading(spark):
         assert abs(scorer.score(text) - want) < 1e-9
         hits = [w for w in re.findall(r"\w+", text.lower()) if any(levenshtein(w, t) <= toxicity.Lexicon.edits(t) for t in scorer.lexicon.terms)]
         assert round(math.expm1(x[4])) == len({min((levenshtein(w, t), t) for t in scorer.lexicon.terms)[1] for w in hits})
+
+
+def test_lexicon_forgets_states_without_changing_matches(monkeypatch):
+    rng = random.Random(5)
+    terms = {"".join(rng.choice("abcd") for _ in range(rng.randint(4, 12))): 1.0 for _ in range(60)}
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    words += [t[:i] + rng.choice("abcd") * rng.randint(0, 2) + t[i + 1 :] for t in terms for i in range(len(t))]
+    whole = toxicity.Lexicon(terms, {"abca": 1.0})
+    want = [whole.match(w) for w in words]
+    for states in (40, 2000):
+        monkeypatch.setattr(toxicity, "STATES", states)
+        small = toxicity.Lexicon(terms, {"abca": 1.0})
+        assert [small.match(w) for w in words] == want
+        assert small.kept == sum(len(a.states) for a in small.automata.values()) < whole.kept
