@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from functools import reduce
+from operator import add
 
 from rillwave.operators import views as v
 
@@ -75,6 +77,60 @@ class Sliding:
         return self.total
 
 
+#: Longest window whose mean is summed anew on each tick; DuckDB adds longer frames in an order of its own.
+ANEW = 16
+
+
+class Anew:
+    """The last values of a window and their sum, added anew from the oldest on as SQL does: equal windows have equal sums."""
+
+    def __init__(self, window: int):
+        self.values: deque[float] = deque(maxlen=window)
+
+    def add(self, x: float) -> float:
+        self.values.append(x)
+        return reduce(add, self.values, 0.0)
+
+
+def two_sum(a, b):
+    """a + b and its rounding error."""
+    s = a + b
+    c = s - a
+    return s, (a - (s - c)) + (b - c)
+
+
+def exact_parts(values) -> tuple[float, float]:
+    """The correctly rounded sum and what it leaves out."""
+    total = exact_sum(values)
+    rest = exact_sum([*values, -total])
+    return total, rest if math.isfinite(rest) else 0.0
+
+
+class Carried:
+    """As Sliding, with the rounding errors carried along: equal windows have equal sums, long ones too."""
+
+    def __init__(self, window: int):
+        self.window, self.values, self.total, self.rest, self.age = window, deque(), 0.0, 0.0, 0
+
+    def add(self, x: float) -> float:
+        q, old, total, rest = self.values, 0.0, self.total, self.rest
+        if len(q) >= self.window:
+            old = q.popleft()
+            total, e = two_sum(total, -old)
+            rest += e
+        q.append(x)
+        total, e = two_sum(total, x)
+        rest += e
+        out = total + rest
+        self.age += 1
+        if self.age >= self.window or not math.isfinite(out) or abs(out) < CANCELLED * abs(old):
+            total, rest = exact_parts(q)
+            out = total
+            self.age %= self.window
+        self.total, self.rest = total, rest
+        return out
+
+
 class GteKernel(Kernel):
     def __init__(self, clip):
         self.clip = clip
@@ -135,7 +191,7 @@ class WelfordRollingKernel(Kernel):
 
 class SmaKernel(Kernel):
     def __init__(self, window):
-        self.window, self.sum = window, Sliding(window + 1)
+        self.window, self.sum = window, (Anew if window <= ANEW else Carried)(window + 1)
 
     def step(self, x):
         total, n = self.sum.add(x), len(self.sum.values)

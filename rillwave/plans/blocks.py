@@ -106,6 +106,29 @@ def _sums(x: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
+def _equal_sums(x: np.ndarray, window: int) -> np.ndarray:
+    """Sums over the last values that are equal for equal windows, as kernels.Anew and kernels.Carried make them."""
+    out = np.zeros_like(x)
+    if window <= kernels.ANEW + 1:
+        for k in range(min(window, len(x)) - 1, -1, -1):
+            out[k:] += x[: len(x) - k]
+        return out
+    total, rest = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for t in range(len(x)):
+        old = x[t - window] if t >= window else np.zeros(x.shape[1])
+        total, less = kernels.two_sum(total, -old)
+        rest = rest + less
+        total, more = kernels.two_sum(total, x[t])
+        rest = rest + more
+        out[t] = total + rest
+        lost = np.flatnonzero(((t + 1) % window == 0) | ~np.isfinite(out[t]) | (np.abs(out[t]) < kernels.CANCELLED * np.abs(old)))
+        if len(lost):
+            parts = [kernels.exact_parts(column) for column in x[max(0, t - window + 1) : t + 1, lost].T.tolist()]
+            total[lost], rest[lost] = np.array(parts).T
+            out[t, lost] = total[lost]
+    return out
+
+
 def _extremes(x: np.ndarray, window: int, pick) -> np.ndarray:
     """The least or greatest of the last values, by doubling."""
     out, size = x.copy(), 1
@@ -126,7 +149,7 @@ def _step(view: v.View, b: Block) -> tuple[np.ndarray, np.ndarray]:
         case v.LTE():
             return np.minimum(x, view.clip), every
         case v.Sma():
-            return _sums(x, w + 1) / np.minimum(number, w + 1), b.from_tick(w - 1)
+            return _equal_sums(x, w + 1) / np.minimum(number, w + 1), b.from_tick(w - 1)
         case v.Lag():
             return b.back(w - 1), b.from_tick(w - 1)
         case v.Min() | v.Max():

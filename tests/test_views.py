@@ -198,6 +198,43 @@ def test_every_view_agrees_with_sql(series, w):
             assert same(got[k, row_id - 1000 * k][name], y, 2e-6), (name, k, row_id, got[k, row_id - 1000 * k][name], y)
 
 
+def test_means_of_equal_windows_are_equal(spark):
+    """A normalizer over a mean turns its last bit into 1 or -1: cases that 0.1 GB of repeated events held."""
+    rng = random.Random(6)
+    rows = [(k, t, rng.choice([29.27, 0.1, 122.79, 2.11]) if k < 40 else 0.1 if t > 60 else rng.random()) for k in range(42) for t in range(150)]
+    df = spark.createDataFrame(rows, "k long, t long, value double").repartition(1)
+    table = df.toPandas()  # noqa: F841
+    view = HLNormalizer(4, Sma(6))
+    sql = OracleSql('(SELECT *, k * 1000 + t AS id FROM "table")', "k", "id", "t", "value").sql(view)
+    want = {(k, row_id - 1000 * k): y for row_id, k, y in duckdb.connect().execute(sql).fetchall()}
+    got = collected(features(df, "k", "t", {"out": view}), ["out"])
+    assert {i: (got[i]["out"], y) for i, y in want.items() if not same(got[i]["out"], y, 2e-6)} == {}
+    alone = [Program([view]).scan([x for j, _, x in rows if j == k])[0] for k in range(42)]
+    assert [(k, t) for k, t, _ in rows if not same(alone[k][t], want[k, t], 2e-6)] == []
+
+
+def test_long_means_of_equal_windows_are_equal():
+    import numpy as np
+
+    from rillwave.plans import blocks
+
+    rng = random.Random(1)
+    values = [rng.randrange(20000) / 100 for _ in range(3000)] + [0.1] * 1000 + [29.27] * 1000
+    for w in (6, 100, 200):
+        program = Program([HLNormalizer(4, Sma(w))])
+        side = blocks.run(program, np.array([values] * 2).T, np.array([len(values)] * 2))[0][0][:, 1]
+        for out in (program.scan(values)[0], side.tolist()):
+            assert {*out[3000 + w + 8 : 4000], *out[4000 + w + 8 :]} == {0.0}
+    odd = [1e308, 1e308, -1e308, 1e308, -1e308, 5.0, math.nan, math.inf, -math.inf, 1e300, -1e300, 1e150, -1e150, 0.0]
+    mixed = [rng.choice([*odd, *values[:9]]) if t % 90 < 30 else values[t] for t in range(900)]
+    for w in (6, 20):
+        program = Program([Sma(w)])
+        side, ready = (m[:, 0].tolist() for m in blocks.run(program, np.array([mixed]).T, np.array([len(mixed)]))[0])
+        assert all(same_or_nan(a, b if r else None) or a is None and not r for a, b, r in zip(program.scan(mixed)[0], side, ready, strict=True))
+        for t in range(60, 900, 90):
+            assert all(abs(x - math.fsum(mixed[i - w : i + 1]) / (w + 1)) < 1e-9 for i, x in enumerate(program.scan(mixed)[0]) if t <= i < t + 30)
+
+
 def test_ranges(spark):
     df = spark.createDataFrame([(1, t, x) for t, x in enumerate(walk(400, 0))], "k long, t long, value double")
     bounds = {"rsi": (Rsi(14), 0, 100), "my": (MyRSI(14), -1, 1), "cti": (CorrelationTrend(10), -1, 1), "hl": (HLNormalizer(10), -1, 1), "lr": (LaguerreRSI(10), 0, 1), "be": (BinaryEntropy(9), 0, 1)}
